@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of a membership filter (a fixed size, whatever the corpus) and rows of it that travel together.
@@ -107,3 +107,19 @@ def record_text(with_objective: bool):
     said = F.transform(F.filter("messages", lambda m: m["role"].isin("user", "assistant") & m["content"].isNotNull()), lambda m: m["content"])
     said = F.coalesce(said, F.array().cast("array<string>"))
     return F.array_join(F.concat(F.array(F.coalesce(F.col("learning_objective"), F.lit(""))), said) if with_objective else said, "\n")
+
+
+def ranked(df: DataFrame, keys: list[str], by: str, name: str = "rank", per_task: int = 100_000) -> DataFrame:
+    """``df`` with the place (from 0) of each row among those of equal ``keys``, ordered by a hash of ``by``, then ``by``.
+
+    Each key is cut into ranges of the hash, so that no task ranks a whole hot key: ranges are counted, and a row's place
+    is that in its range after the earlier ranges. Values of ``by`` must be distinct within a key.
+    """
+    parts = max(1, -(-df.count() // per_task))
+    hashed = df.withColumn("_h", F.xxhash64(by)).withColumn("_part", F.floor((F.shiftrightunsigned("_h", 1) / F.lit(2.0**63)) * parts).cast("int"))
+    sizes = hashed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a key
+    starts = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(*keys, "_part").orderBy("_h", by)
+    placed = hashed.withColumn("_own", F.row_number().over(own) - 1).join(starts, [*keys, "_part"])
+    return placed.withColumn(name, (F.col("_own") + F.col("_start")).cast("bigint")).drop("_h", "_part", "_own", "_start")
