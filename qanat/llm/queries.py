@@ -48,8 +48,8 @@ def oracle_sql() -> dict[str, str]:
                      max(CASE WHEN trim(provenance.source_family_key) <> '' THEN provenance.source_family_key END) AS f
               FROM release_rows WHERE row_id IS NOT NULL GROUP BY row_id),
             links AS (SELECT DISTINCT 'g' || g AS a, 'f' || f AS b FROM own WHERE g IS NOT NULL AND f IS NOT NULL),
-            both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-            reach(a, b) AS (SELECT a, a FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+            ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+            reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
             least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
             placed AS (
               SELECT row_id, split, coalesce(l.c, 'g' || g, 'f' || f) AS c
