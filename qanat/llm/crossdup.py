@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qanat.llm.overlap import at_least, candidates, profile, share, with_words
 from qanat.llm.runtime import cut
+from qanat.llm.textcore import set_of
 
 SIDE = "CASE WHEN split = 'train' THEN 1 WHEN split IN ('validation', 'test') THEN 2 END"
 
@@ -76,7 +77,9 @@ def cross_texts(rows: DataFrame, threshold: float = 0.8, band: int = 24) -> tupl
                 x, y = np.frombuffer(wx, np.uint64), np.frombuffer(wy, np.uint64)
                 edits = banded_distance(x, y, band)
                 both, either = share(x, y)
-                if at_least(both, either, threshold):
+                n = min(len(set_of(x)), len(set_of(y)))
+                proved = edits is not None and at_least(n - 5 * edits, n + 5 * edits, threshold)
+                if proved or at_least(both, either, threshold):
                     out.append((p, q, both / either, edits))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["a", "b", "share", "edits"])
 

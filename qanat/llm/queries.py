@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "p4_forms": _on(lookalike.consistent_messages, "release_rows"),
         "p5_found": _on(neardup.near_pairs, "release_rows"),
         "p5_groups": _on(neardup.near_groups, "release_rows"),
+        "p6_row_tokens": _on(tokens.row_tokens, "release_rows"),
         "p6_token_totals": _on(tokens.token_totals, "release_rows"),
         "p7_found": _on(lambda rows, scenarios: leaks.leaks(rows, scenarios).select("row_id", "scenario_id", "turn", "field").distinct(), "release_rows", "scenarios"),
         "p8_containers": _on(packing.containers, "documents", "pack_limits"),

@@ -197,11 +197,11 @@ def tidy(column, joiner: str):
     return F.when(F.length(x) > 0, x).otherwise(F.lit(MISSING))
 
 
-def token_totals(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """(source_family, language, scenario_family, records, tokens) for every combination of the three or of some of them.
+def row_tokens(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """(row_id, source_family, language, scenario_family, tokens): each record once, with the tokens of all its messages, the system message included.
 
-    ALL stands for every value of a column, MISSING for a missing one. All messages of a record count, the system
-    message included; redelivered records count once; records without messages count with no tokens.
+    Spellings are brought together and missing values shown as MISSING; records without messages have no tokens. Rows with
+    null row_id are no records.
     """
     said = F.transform(F.filter(F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")), lambda m: m["content"].isNotNull()), lambda m: m["content"])
     flat = rows.where("row_id IS NOT NULL").select(
@@ -211,6 +211,13 @@ def token_totals(rows: DataFrame, path: str | None = None) -> DataFrame:
         tidy(F.col("scenario_family"), "_").alias("scenario_family"),
         said.alias("said"),
     )
-    each = with_tokens(flat, "said", path).dropDuplicates(["row_id"])
-    cube = each.cube("source_family", "language", "scenario_family").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
+    return with_tokens(flat, "said", path).dropDuplicates(["row_id"])
+
+
+def token_totals(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """(source_family, language, scenario_family, records, tokens) for every combination of the three or of some of them.
+
+    ALL stands for every value of a column. Counts are those of ``row_tokens``.
+    """
+    cube = row_tokens(rows, path).cube("source_family", "language", "scenario_family").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
     return cube.na.fill(ALL, ["source_family", "language", "scenario_family"])
