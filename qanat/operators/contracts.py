@@ -48,7 +48,7 @@ def rules() -> list[tuple[str, Column]]:
         ("invalid_messages", shape),
         ("invalid_role_sequence", ~shape & broken(roles_out_of_order(m))),
         ("invalid_message_content", ~shape & broken(F.exists(m, lambda x: F.coalesce(F.length(F.trim(x["content"])) == 0, F.lit(True)) | (F.length(x["content"]) > CONTENT)))),
-        ("conversation_not_closed", ~shape & broken(F.element_at(m, -1)["role"] != "assistant")),
+        ("conversation_not_closed", ~shape & broken(F.try_element_at(m, F.lit(-1))["role"] != "assistant")),
         ("invalid_conversation_hash", bad_hash),
         ("conversation_hash_mismatch", ~bad_hash & broken(F.col("conversation_sha256") != conversation_hash(m))),
         ("invalid_pressure_pattern", bad_pressure),

@@ -27,7 +27,7 @@ def role_sequence_violations(t):
 
 @query(f"WITH {ROWS} SELECT row_id FROM rows_ WHERE messages[-1].role <> 'assistant'")
 def conversation_not_closed(t):
-    return t.release_rows.where("element_at(messages, -1).role <> 'assistant'").select("row_id").distinct()
+    return t.release_rows.where("try_element_at(messages, -1).role <> 'assistant'").select("row_id").distinct()
 
 
 @query(f"WITH {SAID} SELECT row_id, turn, length(content) AS chars FROM said WHERE trim(content) = '' OR length(content) > 1000")
