@@ -33,6 +33,8 @@ from qanat.llm.textcore import SHINGLE, chunks, consistent_form, range_hashes, s
 SEGMENT, SPREAD, SMALL = 8, 5, 64
 #: Pairs of segments that one step of a block's product holds at once.
 STEP = 1 << 21
+#: Bytes of a block above which its segments are counted in parts.
+HOT_BLOCK = 64 << 20
 
 
 def least_common(nx: np.ndarray, ny: np.ndarray, t: float) -> np.ndarray:
@@ -176,9 +178,15 @@ def _once(name, ids, n, m, side, *more):
 
 
 def candidates(packed: DataFrame, t: float) -> DataFrame:
-    """(a, b): pairs of different texts, a < b, that the bound can't discard; with sides, one of each."""
+    """(a, b): pairs of different texts, a < b, that the bound can't discard; with sides, one of each.
+
+    A block that a hot segment makes large is counted in parts of HOT_BLOCK bytes, whose tallies are merged.
+    """
     blocks = 2 * partitions(packed.sparkSession)
     schema = "block int, body binary"
+    sizes = packed.groupBy("block").agg(F.sum(F.octet_length("body")).alias("bytes")).where(F.col("bytes") > HOT_BLOCK)
+    parts = [(r.block, -(-r.bytes // HOT_BLOCK)) for r in sizes.collect()]
+    cold = packed.where(~F.col("block").isin([b for b, _ in parts])) if parts else packed
 
     def table(out: list[tuple[int, bytes]]) -> pa.Table:
         return pa.table({"block": pa.array([k for k, _ in out], pa.int32()), "body": pa.array([x for _, x in out], pa.binary())})
@@ -188,28 +196,73 @@ def candidates(packed: DataFrame, t: float) -> DataFrame:
         u, first, own = np.unique(key, return_index=True, return_inverse=True)
         return first, own
 
-    def count(x: pa.Table) -> pa.Table:
-        """Segments that have another text, with the number of their texts, sent back to the texts."""
-        (k,) = set(x.column("block").to_pylist())
-        name, ids, n, m, side = _once(*unpack(x.column("body")))
+    def tally(name, ids, side) -> tuple[np.ndarray, ...]:
+        """By segment: its name, number of texts, least and largest text, and which sides it has; input sorted by name."""
         start = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         df = np.diff(np.append(start, len(name)))
-        shared = (df > 1) & (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start))
-        shared &= (np.minimum.reduceat(side, start) != np.maximum.reduceat(side, start)) | (np.minimum.reduceat(side, start) == 0)
-        keep = np.repeat(shared, df)
-        if not keep.any():
-            return table([])
-        df = np.minimum(np.repeat(df, df), 65535)[keep]
-        name, ids, n, side = name[keep], ids[keep], n[keep], side[keep]
+        return name[start], df, np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start), np.bitwise_or.reduceat(side, start)
+
+    def useful(low, high, sides):
+        return (low != high) & ((sides == 3) | (sides == 0))
+
+    def send(k: int, name, ids, n, side, df) -> pa.Table:
+        """Segments with their numbers of texts, back to the texts; the block goes along as m, so that names of two blocks stay apart."""
         first, own = number(ids, side)
         to = (ids[first].view(np.uint64) >> np.uint64(7)) % np.uint64(blocks)
-        # the block goes along as m of its texts, so that names of two blocks stay apart
-        return table(pack(to[own], blocks, name, own, ids[first], n[first], np.full(len(first), k), side[first], df))
+        return table(pack(to[own], blocks, name, own, ids[first], n[first], np.full(len(first), k), side[first], np.minimum(df, 65535)))
+
+    def count(x: pa.Table) -> pa.Table:
+        """Segments that have another text."""
+        (k,) = set(x.column("block").to_pylist())
+        name, ids, n, _, side = _once(*unpack(x.column("body")))
+        _, df, low, high, sides = tally(name, ids, side)
+        keep = np.repeat(useful(low, high, sides), df)
+        return send(k, name[keep], ids[keep], n[keep], side[keep], np.repeat(df, df)[keep]) if keep.any() else table([])
+
+    def part(x: pa.Table) -> pa.Table:
+        """The tally of a part of a hot block."""
+        (k,) = set(x.column("block").to_pylist())
+        name, ids, _, _, side = _once(*unpack(x.column("body")))
+        name, df, low, high, sides = tally(name, ids, side)
+        return table([(k, b"".join(c.tobytes() for c in (np.array([len(name)], np.int64), low, high, df.astype(np.int64), name, sides)))])
+
+    def merge(x: pa.Table) -> pa.Table:
+        """The tallies of all parts together: useful segments, sorted, and their numbers of texts."""
+        (k,) = set(x.column("block").to_pylist())
+        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for body in x.column("body").to_pylist():
+            (u,) = np.frombuffer(body, np.int64, 1)
+            for col, v in zip(cols, (*(np.frombuffer(body, np.int64, u, 8 + 8 * u * i) for i in range(3)), np.frombuffer(body, np.uint32, u, 8 + 24 * u), np.frombuffer(body, np.uint8, u, 8 + 28 * u))):
+                col.append(v)
+        low, high, df, name, sides = (np.concatenate(c) for c in cols)
+        order = np.argsort(name, kind="stable")
+        low, high, df, name, sides = (c[order] for c in (low, high, df, name, sides))
+        start = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+        keep = useful(np.minimum.reduceat(low, start), np.maximum.reduceat(high, start), np.bitwise_or.reduceat(sides, start))
+        name, df = name[start][keep], np.add.reduceat(df, start)[keep]
+        return table([(k, np.array([len(name)], np.int64).tobytes() + df.tobytes() + name.tobytes())])
+
+    def sift(x: pa.Table, y: pa.Table) -> pa.Table:
+        """A part's segments that the merged tally knows."""
+        if not x.num_rows or not y.num_rows:
+            return table([])
+        (k,) = set(x.column("block").to_pylist())
+        (body,) = y.column("body").to_pylist()
+        (u,) = np.frombuffer(body, np.int64, 1)
+        df, known = np.frombuffer(body, np.int64, u, 8), np.frombuffer(body, np.uint32, u, 8 + 8 * u)
+        name, ids, n, _, side = _once(*unpack(x.column("body")))
+        at = np.minimum(np.searchsorted(known, name), max(0, u - 1))
+        keep = known[at] == name if u else np.zeros(len(name), bool)
+        return send(k, name[keep], ids[keep], n[keep], side[keep], df[at][keep]) if keep.any() else table([])
 
     def choose(x: pa.Table) -> pa.Table:
         """Each text's rarest shared segments, as many as the bound asks for."""
         name, ids, n, block, side, df = unpack(x.column("body"), True)
         first, own = number(ids, side)
+        order = np.lexsort((name, block, own))  # a text whose copies were counted in several parts comes with each
+        new = np.append(True, (np.diff(name[order]) != 0) | (np.diff(block[order]) != 0) | (np.diff(own[order]) != 0))
+        order = order[new]
+        name, block, df, own = name[order], block[order], df[order], own[order]
         m = np.bincount(own, minlength=len(first))
         order = np.lexsort((name, block, df, own))
         name, block, own = name[order], block[order], own[order]
@@ -257,7 +310,14 @@ def candidates(packed: DataFrame, t: float) -> DataFrame:
         y = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0), np.int64)
         return pa.table({"a": y[0], "b": y[1], "need": y[2], "common": y[3]})
 
-    back = packed.groupBy("block").applyInArrow(count, schema)
+    back = cold.groupBy("block").applyInArrow(count, schema)
+    if parts:
+        salts = F.broadcast(packed.sparkSession.createDataFrame(parts, "block int, parts int"))  # at most one row per block
+        hot = packed.join(salts, "block").select("block", "body", F.pmod(F.xxhash64("body"), "parts").cast("int").alias("part"))
+        tallies = hot.groupBy("block", "part").applyInArrow(part, schema).groupBy("block").applyInArrow(merge, schema)
+        spread = tallies.join(salts, "block").select("block", "body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        spread = spread.select(F.col("block").alias("b"), F.col("body").alias("body"), F.col("part").alias("p"))
+        back = back.union(hot.groupBy("block", "part").cogroup(spread.groupBy("b", "p")).applyInArrow(sift, schema))
     rare = back.groupBy("block").applyInArrow(choose, schema)
     pairs = rare.groupBy("block").applyInArrow(product, "a bigint, b bigint, need bigint, common bigint")
     return pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("common").alias("common")).where("common >= need").select("a", "b")

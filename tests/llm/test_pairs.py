@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from qanat.llm import crossdup, lookalike, neardup
+from qanat.llm import crossdup, lookalike, neardup, overlap
 from qanat.llm.crossdup import banded_distance
 from qanat.llm.overlap import least_common
 from tests.llm import common
@@ -58,6 +58,15 @@ def test_near_pairs_equal_brute_force(spark, specs):
     assert len(pairs) == len(got) and pairs == common.near(specs, 0.6, True)
 
 
+def test_hot_blocks_give_the_same_pairs(spark, specs, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_BLOCK", 400)
+    df = common.rows(spark, specs).repartition(5)
+    split = {s["row_id"]: s.get("split", "train") for s in specs}
+    assert {(r.row_id_a, r.row_id_b) for r in neardup.near_pairs(df).collect()} == common.near(specs, 0.6, True)
+    want = {(a, b) for a, b in common.near(specs, 0.8, False) if split[a] and split[b] and (split[a] == "train") != (split[b] == "train")}
+    assert {(r.row_id_a, r.row_id_b) for r in crossdup.cross_pairs(df).collect()} == want
+
+
 def test_near_groups(spark, specs):
     got = {r.row_id: r for r in neardup.near_groups(common.rows(spark, specs), 0.8).collect()}
     assert set(got) == {s["row_id"] for s in specs} - {None}
