@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from qanat.functions.hashing import digest_choice, stable_choice, stable_id
 from qanat.functions.text import ascii_words
+from qanat.operators import plangen
 from qanat.plans.contract_queries import SAID
 from qanat.plans.registry import query
 
@@ -97,3 +98,11 @@ def novel_token_uptake(t):
 def pick_min_hash_variant(t):
     digest = F.sha2(F.concat("doc_id", F.lit(":"), "n_chars"), 256)
     return t.documents.where("source_group_id IS NOT NULL").groupBy("source_group_id").agg(F.min_by("doc_id", digest).alias("doc_id"), F.min(digest).alias("digest"))
+
+
+@query(f"""SELECT id || '::' || condition AS job_id, lpad(CAST({NUMBER.format('jobs', "(id || '::' || condition)")} AS VARCHAR), 20, '0') AS order_key FROM scenarios, (SELECT DISTINCT condition FROM turn_results WHERE condition IS NOT NULL)""")
+def job_order(t):
+    """Scenarios x conditions, both small, in a seeded order."""
+    conditions = t.turn_results.where("condition IS NOT NULL").select("condition").distinct()
+    jobs = conditions.crossJoin(F.broadcast(t.scenarios.select("id"))).select(F.concat_ws("::", "id", "condition").alias("job_id"))
+    return plangen.job_order(jobs, "jobs")
