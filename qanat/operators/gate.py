@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qanat.functions.text import let, ngram_hashes, ngrams, normalized, tokens
+from qanat.functions.session import cut, spread
+from qanat.functions.text import let, ngram_hashes, ngrams, tokens
+
+
+def worded(texts: DataFrame) -> DataFrame:
+    """(id, w): the words of each text; a table that has them already stays as it is."""
+    return texts if "w" in texts.columns else spread(texts.select("id", "text")).select("id", tokens(F.col("text")).alias("w"))
 
 
 def exact_duplicates(texts: DataFrame) -> DataFrame:
     """(text_sha256, copies, first_id, last_id): texts of equal words that at least two ids have. Texts without words are left out."""
-    hashed = texts.select("id", normalized(F.col("text")).alias("t")).where("t <> ''").select("id", F.sha2("t", 256).alias("text_sha256"))
+    hashed = worded(texts).where(F.size("w") > 0).select("id", F.sha2(F.array_join("w", " "), 256).alias("text_sha256"))
     return hashed.groupBy("text_sha256").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("copies > 1")
 
 
@@ -18,26 +24,32 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.82, n: int = 5, least
     """(left_id, right_id, similarity) with left_id < right_id, exact copies left out.
 
     Similarity is that of the reference gate: n-grams that more than ``cap`` ids hold don't count as shared but
-    stay in the sizes. The cap is part of the measure, and bounds the pairs of a hot n-gram. N-grams travel as hashes with
-    their text's id and size, and their counts are aggregated before any pair is made.
+    stay in the sizes. The cap is part of the measure. N-grams travel as hashes with their text's id and size, and are counted
+    before any pair is made. A partner shares at least threshold * size of a text's n-grams, so texts with fewer shared
+    ones drop out, and partners meet in the rarest that are left over; only such pairs are counted in full.
     """
-    words = texts.select("id", tokens(F.col("text")).alias("w")).where(F.size("w") >= least_words)
+    words = worded(texts).where(F.size("w") >= least_words)
     grams = let(ngram_hashes(F.col("w"), n), F.array_distinct)
     sets = words.select("id", F.xxhash64(F.array_join("w", " ")).alias("t"), grams.alias("g"))
     posts = sets.select("id", "t", F.size("g").alias("n"), F.explode("g").alias("g"))
-    useful = posts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c").between(2, cap)).select("g")
-    posts = posts.join(useful, "g", "left_semi")
-    a = posts.select("g", F.col("id").alias("left_id"), F.col("n").alias("ln"), F.col("t").alias("lt"))
-    b = posts.select("g", F.col("id").alias("right_id"), F.col("n").alias("rn"), F.col("t").alias("rt"))
+    useful = posts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c").between(2, cap))
+    posts = cut(posts.join(useful, "g"))
+    own = Window.partitionBy("id")  # the n-grams of one text
+    need = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9))
+    ranks = posts.withColumn("m", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("c", "g")))
+    first = ranks.where(F.col("r") <= F.col("m") - need + 1)
+    a = first.select("g", F.col("id").alias("left_id"), F.col("n").alias("ln"), F.col("t").alias("lt"))
+    b = first.select("g", F.col("id").alias("right_id"), F.col("n").alias("rn"), F.col("t").alias("rt"))
     size = F.expr(f"least(ln, rn) >= {threshold} * greatest(ln, rn) - 1e-9")  # smaller texts can't reach the threshold
-    pairs = a.join(b, "g").where((F.col("left_id") < F.col("right_id")) & (F.col("lt") != F.col("rt")) & size)
-    shared = pairs.groupBy("left_id", "right_id", "ln", "rn").agg(F.count("*").alias("s"))
+    pairs = a.join(b, "g").where((F.col("left_id") < F.col("right_id")) & (F.col("lt") != F.col("rt")) & size).select("left_id", "right_id", "ln", "rn").distinct()
+    both = pairs.join(posts.select(F.col("id").alias("left_id"), "g"), "left_id").join(posts.select(F.col("id").alias("right_id"), "g"), ["right_id", "g"])
+    shared = both.groupBy("left_id", "right_id", "ln", "rn").agg(F.count("*").alias("s"))
     return shared.withColumn("similarity", F.col("s") / (F.col("ln") + F.col("rn") - F.col("s"))).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
 def openings(texts: DataFrame, n: int = 8, least: int = 3) -> DataFrame:
     """(opening, occurrences, records): first n words that at least ``least`` ids begin with."""
-    first = texts.select("id", tokens(F.col("text")).alias("w")).where(F.size("w") >= n).select("id", F.array_join(F.slice("w", 1, n), " ").alias("opening"))
+    first = worded(texts).where(F.size("w") >= n).select("id", F.array_join(F.slice("w", 1, n), " ").alias("opening"))
     return first.groupBy("opening").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("records")).where(F.col("records") >= least)
 
 
@@ -46,7 +58,7 @@ def shared_spans(texts: DataFrame, n: int = 16) -> DataFrame:
 
     Sets of ids are told apart by their count, ends and the sum of their hashes, so that no set is gathered.
     """
-    spans = texts.select("id", F.explode(let(ngrams(tokens(F.col("text")), n), F.array_distinct)).alias("span"))
+    spans = worded(texts).select("id", F.explode(let(ngrams(F.col("w"), n), F.array_distinct)).alias("span"))
     sets = spans.groupBy("span").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s")).where("records > 1")
     return sets.groupBy("records", "first_id", "last_id", "s").agg(F.min("span").alias("span")).select("span", "records", "first_id", "last_id")
 
@@ -57,7 +69,7 @@ def longest_overlaps(texts: DataFrame, references: DataFrame, n: int = 8) -> Dat
     n-grams of both sides meet; hits of one pair on one diagonal that follow each other are a run. Ties go to
     the earliest start, then to the smallest ref and place in it.
     """
-    a = texts.select("id", F.posexplode(ngram_hashes(tokens(F.col("text")), n)).alias("p", "g"))
+    a = worded(texts).select("id", F.posexplode(ngram_hashes(F.col("w"), n)).alias("p", "g"))
     b = references.select("ref", F.posexplode(ngram_hashes(tokens(F.col("text")), n)).alias("q", "g"))
     hits = a.join(b, "g").select("id", "ref", "p", "q", (F.col("p") - F.col("q")).alias("d"))
     run = hits.withColumn("island", F.col("p") - F.row_number().over(Window.partitionBy("id", "ref", "d").orderBy("p")))
@@ -67,18 +79,19 @@ def longest_overlaps(texts: DataFrame, references: DataFrame, n: int = 8) -> Dat
 
 def contaminated(texts: DataFrame, references: DataFrame, n: int = 12) -> DataFrame:
     """(id): texts that share n consecutive words with a reference."""
-    a = texts.select("id", F.explode(ngram_hashes(tokens(F.col("text")), n)).alias("g"))
+    a = worded(texts).select("id", F.explode(ngram_hashes(F.col("w"), n)).alias("g"))
     b = references.select(F.explode(ngram_hashes(tokens(F.col("text")), n)).alias("g")).distinct()
     return a.join(b, "g", "left_semi").select("id").distinct()
 
 
 def text_flags(texts: DataFrame, references: DataFrame) -> DataFrame:
     """(id, code, severity): what the corpus passes of the gate find, each code once per id."""
-    hashed = texts.select("id", F.xxhash64(normalized(F.col("text"))).alias("t"), F.size(tokens(F.col("text"))).alias("n")).where("n > 0")
+    texts = cut(worded(texts))  # all passes read the words, which are made once
+    hashed = texts.where(F.size("w") > 0).select("id", F.xxhash64(F.array_join("w", " ")).alias("t"))
     copies = hashed.join(hashed.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "t", "left_semi")
     near = near_duplicates(texts)
-    first = texts.select("id", tokens(F.col("text")).alias("w")).where(F.size("w") >= 8).select("id", F.array_join(F.slice("w", 1, 8), " ").alias("opening"))
-    spans = texts.select("id", F.explode(let(ngram_hashes(tokens(F.col("text")), 16), F.array_distinct)).alias("g"))
+    first = texts.where(F.size("w") >= 8).select("id", F.array_join(F.slice("w", 1, 8), " ").alias("opening"))
+    spans = texts.select("id", F.explode(let(ngram_hashes(F.col("w"), 16), F.array_distinct)).alias("g"))
     common = spans.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     parts = [
         (copies, "exact_corpus_duplicate", "block"),
