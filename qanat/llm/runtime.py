@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bits of a membership filter (a fixed size, whatever the corpus) and rows of it that travel together.
-FILTER_BITS = 1 << 23
-FILTER_PARTS = 64
-
+from qanat.functions.session import cut  # noqa: F401
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of this machine only for a local master."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isEmpty():
-        if not named:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="qanat-checkpoint-")
-        sc.setCheckpointDir(named)
-        return named
-    return have.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, with its lineage cut; it outlives any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Bits of a membership filter: sixteen a member within these limits (16 MB at most, whatever the corpus), and parts in which it travels.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+FILTER_PARTS = 64
 
 
 def partitions(spark: SparkSession) -> int:
@@ -50,29 +29,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _filter_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _filter_places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)
+    return h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)
 
 
 def membership_filter(ids: DataFrame):
-    """Broadcast Bloom filter of the one bigint column of ``ids``.
+    """Broadcast Bloom filter of the one bigint column of ``ids``, which is counted and read, so it should be a stored table.
 
-    It has FILTER_BITS bits at any corpus size (1 MB), and so a proven bound; an overfull filter lets more
-    rows through to the exact join that follows it, and never fewer.
+    It has MOST_BITS at any corpus size; an overfull filter lets more rows through to the exact join that
+    follows it, and never fewer. Its parts are merged on the executors.
     """
     spark = ids.sparkSession
-    per = FILTER_BITS // 8 // FILTER_PARTS
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    per = bits // 8 // FILTER_PARTS
 
     def build(batches):
-        bits, some = np.zeros(FILTER_BITS, np.bool_), False
+        packed = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            values = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-            for places in _filter_places(values):
-                bits[places] = True
-            some |= len(values) > 0
-        packed = np.packbits(bits)
-        parts = [i for i in range(FILTER_PARTS) if some and packed[i * per : (i + 1) * per].any()]
+            for p in _filter_places(b.column(0).drop_null().to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(packed, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        parts = [i for i in range(FILTER_PARTS) if packed[i * per : (i + 1) * per].any()]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([packed[i * per : (i + 1) * per].tobytes() for i in parts], pa.binary())], ["part", "bits"])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -82,14 +59,14 @@ def membership_filter(ids: DataFrame):
         return pa.table({"part": table.column("part")[:1], "bits": pa.array([own.tobytes()], pa.binary())})
 
     kind = "part int, bits binary"
-    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    packed = np.zeros(bits // 8, np.uint8)
     for row in ids.mapInArrow(build, kind).groupBy("part").applyInArrow(merge, kind).collect():
         packed[row.part * per : (row.part + 1) * per] = np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast(packed)
 
 
 def maybe_in(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    a, b = (((packed[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) for p in _filter_places(ids))
+    a, b = (((packed[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) for p in _filter_places(ids, 8 * len(packed)))
     return a & b
 
 
