@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from qanat.functions.session import spread
 from qanat.llm import crossdup, langid, leaks, lookalike, mixing, neardup, packing, spans, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _on(f: Callable[..., DataFrame], *tables: str) -> Query:
-    return lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+    """Small inputs are spread over the cores; large ones come in more parts than there are."""
+    return lambda spark, sf_dir: f(*(spread(t) if i == 0 else t for i, t in enumerate(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables)))
 
 
 def queries() -> dict[str, Query]:
