@@ -51,12 +51,12 @@ def near_pairs(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     return near.union(same)
 
 
-def near_groups(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_groups(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(row_id, text_class, links, group_id): one row per record.
 
     ``text_class`` is the smallest row_id with the same words, ``links`` the number of different texts at or above
     the threshold, ``group_id`` the smallest row_id that is tied to the record through copies and links. Records
-    under five words are tied to their copies only.
+    under five words are tied to their copies only. The groups are those of the pairs of ``near_pairs``, at the same threshold.
     """
     records, pairs = near_texts(rows, threshold)
     pairs = cut(pairs)

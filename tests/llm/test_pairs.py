@@ -92,6 +92,23 @@ def test_near_groups(spark, specs):
     assert {i: r.group_id for i, r in got.items()} == {i: find(i) for i in got}
 
 
+def test_groups_are_those_of_the_pairs(spark, specs):
+    got = {r.row_id: r for r in neardup.near_groups(common.rows(spark, specs)).collect()}
+    pairs = common.near(specs, 0.6, True)
+    assert pairs - common.near(specs, 0.8, True)
+    group = {i: i for i in got}
+    for _ in got:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    near = {i: set() for i in got}
+    for a, b in pairs:
+        near[a].add(got[b].text_class)
+        near[b].add(got[a].text_class)
+    shingled = {i for pair in pairs for i in pair}
+    assert {i: got[i].group_id for i in shingled} == {i: group[i] for i in shingled}
+    assert {i: r.links for i, r in got.items()} == {i: len(x - {got[i].text_class}) for i, x in near.items()}
+
+
 def test_cross_pairs_equal_brute_force(spark, specs):
     got = crossdup.cross_pairs(common.rows(spark, specs)).collect()
     split = {s["row_id"]: s.get("split", "train") for s in specs}
