@@ -5,13 +5,20 @@ copies are only expanded at the end.
 
 Segments. Of every SPREAD consecutive runs of SEGMENT words, the run with the least hash is one of the text's
 segments, so two texts that share SEGMENT + SPREAD - 1 consecutive words share a segment wherever it stands.
-Texts of at most SMALL shingles also take every five-word shingle as a segment, as do those that can pair with them.
+Texts of at most SMALL shingles also take every five-word shingle as a segment, as do those that can pair with them,
+and tangled texts.
 
 Bound. At share t, texts of n_x and n_y distinct five-word shingles have o >= t / (1 + t) (n_x + n_y) of them in
 common. An edit (or the edge of a moved passage) leaves at least four of each text's shingles without a partner, so at most
 e = (n_x + n_y - 2 o) / 8 edits part the common words into e + 1 runs, and these hold at least
 (o - 7 (e + 1)) / 5 common segments. Half of that is asked for (``least_common``), at least one.
 
+Tangled texts. Texts may also share shingles in another order without an edit wherever four words go on in several ways
+(long texts over a tiny vocabulary, such as answer keys), and then few longer segments. Shingles that both texts have and that follow
+each other in one do so in the other unless the four words between them go on in several ways there, so the bound
+holds if one of the two seldom has such words. A text is tangled if it has more than TANGLED further ways on a shingle:
+distinct shingles less distinct four-word runs. Two tangled texts meet in their five-word shingles, of which they share o, more than is asked for.
+
 Steps. A block of segments counts each segment's texts exactly and drops segments of one text (or of one side). The
 text gets its segments back with these counts: with m left, texts at or above t still meet in the m - c + 1 rarest
 of both; one and a half times the bound is kept so that chance meetings can be discarded by count. Only those are multiplied out.
@@ -31,6 +38,7 @@ from qanat.llm.runtime import cut, maybe_in, membership_filter, partitions, reco
 from qanat.llm.textcore import SHINGLE, chunks, consistent_form, range_hashes, set_of, shingles, window_hashes, words
 
 SEGMENT, SPREAD, SMALL = 8, 5, 64
+TANGLED = 1 / 32
 #: Pairs of segments that one step of a block's product holds at once.
 STEP = 1 << 21
 #: Bytes of a block above which its segments are counted in parts.
@@ -77,6 +85,16 @@ def text_ids(h: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
     return range_hashes(h, bounds[:-1], bounds[1:]).view(np.int64)
 
 
+def tangled(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which texts of a batch, of n shingles each, go on in several ways after many of their four-word runs."""
+    runs, own = shingles(h, of, SHINGLE - 1)
+    wide = np.uint64(64 - max(1, len(n)).bit_length())
+    key = np.sort((own.astype(np.uint64) << wide) | (runs >> (np.uint64(64) - wide)))  # the text, then as much of the hash as fits
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    return n - np.bincount((key[first] >> wide).astype(np.int64), minlength=len(n)) > TANGLED * n
+
+
 def segments(h: np.ndarray, of: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (segment, text number) of a batch of texts of n shingles each."""
     out = []
@@ -93,8 +111,8 @@ def segments(h: np.ndarray, of: np.ndarray, n: np.ndarray, t: float) -> tuple[np
             np.maximum(most[k : k + len(low)], low, out=most[k : k + len(low)])
         at = np.flatnonzero((g == most) & (most != 0) & (n[of[: len(g)]] > SMALL))
         out.append((g[at], of[at]))
-    small = n[of] <= SMALL / t
-    s, own = shingles(h[small], of[small])
+    all_ = ((n <= SMALL / t) | tangled(h, of, n))[of]
+    s, own = shingles(h[all_], of[all_])
     out.append((~s, own))
     return distinct(np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]))
 

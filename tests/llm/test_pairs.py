@@ -132,6 +132,19 @@ def test_no_rows(spark, specs):
         assert f(none).count() == 0
 
 
+def test_long_texts_over_a_tiny_vocabulary(spark):
+    rng = random.Random(9)
+    key = lambda n, letters: " ".join(rng.choice(letters) for _ in range(n))
+    specs = [{"row_id": i, "said": [key(1500, "abcd")], "split": ("train", "test")[i % 2]} for i in range(4)]
+    specs += [{"row_id": 10 + i, "said": [key(3500, "efgh")], "split": ("train", "test")[i % 2]} for i in range(2)]
+    specs += [{"row_id": 20 + i, "said": [key(1500, [f"w{k}" for k in range(900)])]} for i in range(2)]
+    df = common.rows(spark, specs)
+    want = common.near(specs, 0.6, True)
+    assert (10, 11) in want and len(want) > 1
+    assert {(r.row_id_a, r.row_id_b) for r in neardup.near_pairs(df).collect()} == want
+    assert {(r.row_id_a, r.row_id_b) for r in crossdup.cross_pairs(df).collect()} == {(10, 11)}
+
+
 def test_bound_is_at_least_one():
     n = np.array([5, 41, 600, 5000])
     assert (least_common(n, n, 0.6) >= 1).all() and (least_common(n, n, 0.8) >= 1).all()
