@@ -144,7 +144,11 @@ class Judge:
         return self.rows[[self.place[k] for k in keys.tolist()]][inverse] if len(keys) else self.rows[:0]
 
     def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words, language or -1, confidence) of each line.
+        """(words, language or -1, confidence) of each line; see ``voted``."""
+        return self.voted(texts)[:3]
+
+    def voted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, language or -1, confidence, words of every language) of each line.
 
         Clear words vote first. A word that several languages share goes, among the languages that have at least half of its best
         evidence, to the one that leads around it: in the words within three places, then in the line. The line has the language of most of its
@@ -155,7 +159,7 @@ class Judge:
         count = np.bincount(of, minlength=len(texts))
         k = e.shape[1]
         if not len(e):
-            return count, np.full(len(texts), -1), np.zeros(len(texts))
+            return count, np.full(len(texts), -1), np.zeros(len(texts)), np.zeros((len(texts), k))
         best = e.argmax(axis=1)
         top = np.sort(e, axis=1)
         clear = (top[:, -1] - top[:, -2] >= CLEAR) if k > 1 else top[:, -1] > 0
@@ -179,7 +183,7 @@ class Judge:
         soft = np.zeros((len(texts), k))
         np.add.at(soft, of, e)
         lang = (votes + 1e-6 * soft).argmax(axis=1)
-        return count, np.where(total > 0, lang, -1), np.divide(votes[np.arange(len(texts)), lang], total, out=np.zeros(len(texts)), where=total > 0)
+        return count, np.where(total > 0, lang, -1), np.divide(votes[np.arange(len(texts)), lang], total, out=np.zeros(len(texts)), where=total > 0), votes
 
 
 def fit(samples: DataFrame, most: int = SAMPLES) -> Filters:
@@ -208,8 +212,15 @@ def line_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
     of whose words any language knows has a null language and confidence 0. Null and empty texts have no
     lines; a doc_id given twice gives its lines twice.
     """
+    return _lines(documents, samples, False)[0]
+
+
+def _lines(documents: DataFrame, samples: DataFrame, with_votes: bool) -> tuple[DataFrame, list[str]]:
+    """(lines, languages): ``line_languages``, if wanted with votes: how many of a line's words each of the languages has."""
     held = documents.sparkSession.sparkContext.broadcast(fit(samples))  # bounded: SLOTS bytes a hash and length
 
+    head = ["doc_id", "line_no", "label", "words", "language", "confidence", *["votes"] * with_votes]
+
     def run(batches):
         judge = Judge(held.value)
         names = pa.array([*held.value.languages, None], pa.string())
@@ -220,12 +231,15 @@ def line_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
             flat, parent = flat.filter(keep), parent.filter(keep).to_numpy()
             number = np.arange(len(parent)) - np.searchsorted(parent, parent)
             for i, j in chunks(pc.utf8_length(flat).to_numpy(zero_copy_only=False) if len(flat) else []):
-                words, lang, sure = judge.lines(flat.slice(i, j - i).to_pylist())
+                words, lang, sure, votes = judge.voted(flat.slice(i, j - i).to_pylist())
                 own = pa.array(parent[i:j])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), pa.array(number[i:j].astype(np.int64)), b.column("label").take(own), pa.array(words.astype(np.int64)), names.take(pa.array(np.where(lang < 0, len(names) - 1, lang))), pa.array(sure)], ["doc_id", "line_no", "label", "words", "language", "confidence"])
+                out = [b.column("doc_id").take(own), pa.array(number[i:j].astype(np.int64)), b.column("label").take(own), pa.array(words.astype(np.int64)), names.take(pa.array(np.where(lang < 0, len(names) - 1, lang))), pa.array(sure)]
+                if with_votes:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(votes) + 1) * votes.shape[1], pa.int32()), pa.array(votes.astype(np.int64).ravel())))
+                yield pa.RecordBatch.from_arrays(out, head)
 
     docs = documents.where("text IS NOT NULL").select("doc_id", label(F.col("lang")).alias("label"), "text")
-    return docs.mapInArrow(run, "doc_id bigint, line_no bigint, label string, words bigint, language string, confidence double")
+    return docs.mapInArrow(run, "doc_id bigint, line_no bigint, label string, words bigint, language string, confidence double" + ", votes array<bigint>" * with_votes), held.value.languages
 
 
 def wrong_lines(documents: DataFrame, samples: DataFrame, least_words: int = 5) -> DataFrame:
@@ -237,11 +251,17 @@ def wrong_lines(documents: DataFrame, samples: DataFrame, least_words: int = 5)
 def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, label, language, confidence, languages): one row per document.
 
-    ``language`` is that of most words, summed over its lines, ``confidence`` its part of them, ``languages`` the number of
-    languages that lead a line. Documents without words have a null language and confidence 0.
+    ``language`` is that of most words, whichever lines they stand in, ``confidence`` its part of the words that have one,
+    ``languages`` the number of languages that lead a line. Of languages with equally many words, the one that leads lines
+    of more words is taken. Documents without words have a null language and confidence 0.
     """
-    lines = line_languages(documents, samples)
-    by = lines.where("language IS NOT NULL").groupBy("doc_id", "language").agg(F.sum(F.col("words") * F.col("confidence")).alias("w"), F.sum("words").alias("all"))
-    best = by.groupBy("doc_id").agg(F.max_by("language", F.struct("w", "language")).alias("language"), (F.max("w") / F.sum("all")).alias("confidence"), F.count("*").alias("languages"))
+    lines, names = _lines(documents, samples, True)
+    own = lines.where("language IS NOT NULL").groupBy("doc_id").agg(
+        *[F.sum(F.col("votes")[k]).alias(f"w{k}") for k in range(len(names))],
+        *[F.sum(F.when(F.col("language") == x, F.col("words")).otherwise(0)).alias(f"led{k}") for k, x in enumerate(names)],
+    )
+    first = F.array_max(F.array(*[F.struct(F.col(f"w{k}").alias("w"), F.col(f"led{k}").alias("led"), F.lit(x).alias("language")) for k, x in enumerate(names)]))
+    total, led = sum(F.col(f"w{k}") for k in range(len(names))), sum((F.col(f"led{k}") > 0).cast("bigint") for k in range(len(names)))
+    best = own.select("doc_id", first.alias("m"), total.alias("all"), led.alias("languages")).select("doc_id", "m.language", (F.col("m.w") / F.col("all")).alias("confidence"), "languages")
     docs = documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(label(F.col("lang"))).alias("label"))
     return docs.join(best, "doc_id", "left").select("doc_id", "label", "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.lit(0)).alias("languages"))

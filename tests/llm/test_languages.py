@@ -37,6 +37,13 @@ def test_lines_and_documents(spark, samples):
     assert langid.line_languages(df.where("false"), samples).count() == 0
 
 
+def test_document_has_the_language_of_most_words_over_mixed_lines(spark, samples):
+    mixed = "the teacher reads the book before professeur livre leçon question"
+    french = "le professeur lit le livre avant que la leçon commence"
+    got = langid.document_languages(spark.createDataFrame([(1, "en", "\n".join([mixed] * 3 + [french]))], "doc_id bigint, lang string, text string"), samples).collect()
+    assert [(r.language, r.confidence, r.languages) for r in got] == [("fr", 22 / 40, 2)]
+
+
 def test_held_out_accuracy(spark):
     import os
 
