@@ -58,12 +58,10 @@ def banded_distance(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
 def cross_texts(rows: DataFrame, threshold: float = 0.8, band: int = 24) -> tuple[DataFrame, DataFrame]:
     """(records, pairs): records (row_id, text_id, n, split, source_family) and pairs (a, b, share, edits) of different texts.
 
-    Evaluation texts are cut into more word segments than the k edits that the threshold allows, training texts hold the
-    substrings that may match them; both are cut where the content says so (``overlap``), which keeps the training
-    side's substrings few. A segment may match at any position, because the share doesn't depend on order. Candidates
-    go to a banded dynamic program over words: ``edits`` is the edit distance if it lies within the band, else null
-    (a moved passage). An edit breaks at most five shingles, so few edits prove the share; the exact share has the
-    last word either way. Copies on either side are one text.
+    Candidates come from the search of problem 5 (``overlap``): content-defined segments of both sides, their product and
+    its count bound; no k is computed and no k + 1 segments are cut. The exact share decides every pair. ``edits`` is
+    only reported: the edit distance over words if it lies within the band, else null (a moved passage). An edit
+    breaks at most five shingles, so pairs that few edits prove pass the share too. Copies on either side are one text.
     """
     rows = rows.select("row_id", "split", "messages", F.col("provenance.source_family").alias("source_family"))
     rows = rows.where(f"({SIDE}) IS NOT NULL")
