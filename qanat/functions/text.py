@@ -1,4 +1,4 @@
-"""Text functions as Spark columns. Only ``nfkc`` leaves the JVM."""
+"""Text functions as Spark columns. Only ``nfkc`` and ``nfc`` leave the JVM."""
 
 from __future__ import annotations
 
@@ -20,6 +20,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed form; texts that have it already pass unchanged."""
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: the optimizer may move a filter below a projection and would else repeat it per element."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qanat.functions import patterns
-from qanat.functions.text import excerpt, sentences, space_words, stripped_lines, tokens
+from qanat.functions.text import excerpt, nfc, sentences, space_words, stripped_lines, tokens
 from qanat.operators import gate
 from qanat.plans.registry import Tables, query, words_sql
 
@@ -98,9 +98,9 @@ STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g
   said AS (SELECT DISTINCT row_id, i - 1 AS turn, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM release_rows))
   SELECT row_id, CAST(turn AS INTEGER) AS turn FROM said WHERE sha256({STRIP.format("content")}) IN (SELECT h FROM held)""")
 def heldout_exact_match(t):
-    held = references(t).select(F.sha2(stripped_lines(F.col("text")), 256).alias("h")).distinct()
+    held = references(t).select(F.sha2(stripped_lines(nfc(F.col("text"))), 256).alias("h")).distinct()
     said = t.release_rows.select("row_id", F.posexplode("messages").alias("turn", "m"))
-    return said.select("row_id", "turn", F.sha2(stripped_lines(F.col("m.content")), 256).alias("h")).join(held, "h", "left_semi").select("row_id", "turn").distinct()
+    return said.select("row_id", "turn", F.sha2(stripped_lines(nfc(F.col("m.content"))), 256).alias("h")).join(held, "h", "left_semi").select("row_id", "turn").distinct()
 
 
 BANK = " UNION ALL ".join(f"SELECT '{n}' AS code, '{s}' AS severity, '{c}' AS category, '(?i){p.replace(chr(39), chr(39) * 2)}' AS p" for n, s, c, p in patterns.ASSISTANT)

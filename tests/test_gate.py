@@ -1,4 +1,10 @@
+import hashlib
+import json
+from types import SimpleNamespace
+
 from qanat.operators import gate
+from qanat.plans import gate_queries
+from qanat.sources import heldout
 
 
 def texts(spark, *values):
@@ -56,3 +62,19 @@ def test_decisions(spark):
 def test_empty_table(spark):
     none = texts(spark, "a").where("false")
     assert gate.exact_duplicates(none).count() == gate.near_duplicates(none).count() == gate.shared_spans(none).count() == 0
+
+
+def test_heldout_hashes_take_the_composed_form(spark, tmp_path):
+    apart, composed = "cafe\u0301 \ufb01n", "caf\u00e9 \ufb01n"
+    turns = "id string, turns array<struct<user:string,expected:string>>"
+    t = SimpleNamespace(
+        scenarios=spark.createDataFrame([("s", [(composed, None)])], turns),
+        release_rows=spark.createDataFrame([(1, [("user", apart)]), (2, [("user", "caf\u00e9 fin")])], "row_id bigint, messages array<struct<role:string,content:string>>"),
+    )
+    assert [(r.row_id, r.turn) for r in gate_queries.heldout_exact_match(t).collect()] == [(1, 0)]
+    raw = json.dumps([{"id": "x", "text": apart}]).encode()
+    (tmp_path / "a.json").write_bytes(raw)
+    source = {"namespace": "n", "repo_relative_path": "a.json", "file_sha256": hashlib.sha256(raw).hexdigest(), "text_paths": ["text"]}
+    (tmp_path / "m.json").write_text(json.dumps({"ids": [], "content_hashes": [], "sources": [source]}))
+    hashes = heldout.load(spark, str(tmp_path / "m.json"), str(tmp_path))[1].collect()
+    assert [r.sha256 for r in hashes] == [hashlib.sha256(composed.encode()).hexdigest()]
