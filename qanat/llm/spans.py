@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from qanat.llm.textcore import chunks, mix, range_hashes, window_hashes
 
 #: Tokens of a phrase; a span of n tokens always holds the phrase with the least hash among its n - PHRASE + 1.
 PHRASE = 16
-#: Phrases of one automaton, and messages that one task streams through it.
-SHARD, STREAM = 20_000, 20_000
+#: Phrases of one automaton, and bytes of the messages that one task streams through it.
+SHARD, STREAM = 10_000, 4 << 20
 
 
 def tokens(content: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,14 +65,31 @@ def pieces(b: pa.RecordBatch):
         yield (part, *tokens(part.column("content")))
 
 
+def sharded(phrases: DataFrame, likely: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(phrase, shard, salt) and (content, row_id, turn, part, salt): phrases of each automaton and the messages it reads.
+
+    From (phrase, home) and (content, row_id, turn, homes). A shard has as many salts as its messages have STREAM bytes.
+    """
+    shards = phrases.count() // SHARD + 1
+    phrases = phrases.select("phrase", F.pmod("home", F.lit(shards)).cast("int").alias("shard"))
+    routed = likely.select("content", "row_id", "turn", F.explode(F.array_distinct(F.transform("homes", lambda x: F.pmod(x, F.lit(shards)).cast("int")))).alias("part"))
+    salts = F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("content")) / F.lit(STREAM))).cast("int")
+    sizes = cut(routed.groupBy("part").agg(salts.alias("salts")))
+    spread = phrases.join(sizes, F.col("shard") == F.col("part")).select("phrase", "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return spread, routed.join(sizes, "part").select("content", "row_id", "turn", "part", F.pmod(F.xxhash64("row_id", "turn"), "salts").cast("int").alias("salt"))
+
+
 def shared_windows(rows: DataFrame, n: int = 40) -> DataFrame:
     """(row_id, turn, start): first tokens of all n-token windows of user and assistant messages that also stand in one message of another record.
 
-    Tokens are the runs between space, tab and line feed of the content as it is, compared byte for byte. Recurring
-    phrases (the least of each window) are confirmed by their text in two records, compiled into sharded Aho-Corasick
-    automata, and the messages that hold any of a shard's phrases are streamed through it; windows around the
-    occurrences are then compared by 128 bits. Messages under n tokens have no window. Only hashes of phrases
-    leave the first pass, about a thirteenth of the tokens.
+    Tokens are the runs between space, tab and line feed of the content as it is, compared byte for byte. Phrases (the
+    least of each window) that recur are spelled by the first and the last record that have them, compiled into sharded
+    Aho-Corasick automata, and every message that holds one of a shard's phrases is streamed through that shard's; all places come
+    from the automata. Windows around them are then compared by 128 bits. Messages under n tokens have no window.
+    Only hashes of phrases leave the first pass, about a thirteenth of the tokens.
+
+    A phrase belongs to the shard of the first message that has it, so a copied passage meets one shard and not one for
+    each of its phrases. A shard is copied once for every STREAM bytes of its own messages: automata grow in proportion to the text.
     """
     said = spoken(rows).drop("role").withColumn("k", F.xxhash64("row_id", "turn"))
 
@@ -84,8 +102,10 @@ def shared_windows(rows: DataFrame, n: int = 40) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[1].astype(np.int64)), part.column("row_id").take(own), part.column("turn").take(own)], ["anchor", "row_id", "turn"])
 
     marks = cut(said.mapInArrow(mark, "anchor bigint, row_id bigint, turn bigint"))
-    recurring = marks.groupBy("anchor").agg(F.min("row_id").alias("x"), F.max("row_id").alias("y")).where("x <> y").select("anchor")
-    held = cut(marks.join(recurring, "anchor", "left_semi").groupBy("row_id", "turn").agg(F.collect_set("anchor").alias("anchors")))  # at most one per token of a message
+    place = F.struct("row_id", "turn")
+    recurring = marks.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x.row_id <> y.row_id")
+    met = marks.join(recurring, "anchor").select("row_id", "turn", F.struct("anchor", F.xxhash64("x").alias("home"), (place.eqNullSafe(F.col("x")) | place.eqNullSafe(F.col("y"))).alias("spells")).alias("a"))
+    held = cut(met.groupBy("row_id", "turn").agg(F.collect_set("a").alias("a")))  # at most one per token of a message
     packed = membership_filter(held.select(F.xxhash64("row_id", "turn")))
 
     def pick(batches):
@@ -93,30 +113,34 @@ def shared_windows(rows: DataFrame, n: int = 40) -> DataFrame:
             yield b.filter(pa.array(maybe_in(packed.value, b.column("k").to_numpy(zero_copy_only=False)))).select(["row_id", "turn", "content"])
 
     likely = said.mapInArrow(pick, "row_id bigint, turn bigint, content string").dropDuplicates(["row_id", "turn"]).join(held, ["row_id", "turn"])
-    likely = cut(likely)
+    likely = cut(likely.select("content", "row_id", "turn", F.transform("a", lambda a: a["home"]).alias("homes"), F.transform(F.filter("a", lambda a: a["spells"]), lambda a: F.struct(a["anchor"], a["home"])).alias("a")))
 
     def spell(batches):
         for b in batches:
-            out = []
-            for r, t, c, a in zip(*(b.column(x).to_pylist() for x in ("row_id", "turn", "content", "anchors"))):
-                part = pa.array([c])
-                h, of, start, end = tokens(part)
-                raw = c.encode()
-                at = np.flatnonzero(np.isin(window_hashes(h, PHRASE).view(np.int64), np.array(a, np.int64)))
-                for p in at:
-                    out.append((" ".join(raw[start[k] : end[k]].decode() for k in range(p, p + PHRASE)), r, t))
-            out = sorted(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], ["phrase", "row_id", "turn"])
-
-    spelled = cut(likely.mapInArrow(spell, "phrase string, row_id bigint, turn bigint"))
-    phrases = spelled.groupBy("phrase").agg(F.min("row_id").alias("x"), F.max("row_id").alias("y")).where("x <> y").select("phrase")
-    phrases = cut(phrases)
-    shards = phrases.count() // SHARD + 1
-    salts = likely.count() // STREAM + 1
-    phrases = phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int"))
-    routed = spelled.join(phrases, "phrase").select("row_id", "turn", "shard").distinct().join(likely.select("row_id", "turn", "content"), ["row_id", "turn"])
-    routed = routed.select("row_id", "turn", "content", F.col("shard").alias("part")).withColumn("salt", F.pmod(F.xxhash64("row_id", "turn"), F.lit(salts)).cast("int"))
-    spread = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            for part, h, of, start, end in pieces(b):
+                lists = part.column("a")
+                sizes = np.diff(lists.offsets.to_numpy())
+                inner = lists.flatten()
+                anchor, home = (inner.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "home"))
+                if not len(anchor):
+                    continue
+                asked = np.stack([np.repeat(np.arange(len(sizes)), sizes), anchor])
+                order = np.lexsort(asked)
+                asked, home = asked[:, order], home[order]
+                g = window_hashes(h, PHRASE).view(np.int64)
+                key, first = np.unique(np.stack([of[: len(g)], g]), axis=1, return_index=True)  # one place of each phrase of a message spells it
+                both = np.concatenate([key, asked], axis=1)
+                _, code = np.unique(both, axis=1, return_inverse=True)
+                code = code.ravel()
+                where = np.searchsorted(code[: key.shape[1]], code[key.shape[1] :])
+                where = first[where]
+                raw = np.frombuffer(part.column("content").buffers()[2], np.uint8)
+                shift = int(np.frombuffer(part.column("content").buffers()[1], np.int32, 1, 4 * part.column("content").offset)[0])
+                spelled = [b" ".join(raw[shift + i : shift + j].tobytes() for i, j in zip(start[p : p + PHRASE], end[p : p + PHRASE])).decode() for p in where]
+                yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), pa.array(home)], ["phrase", "home"])
+
+    phrases = cut(likely.where("size(a) > 0").select("content", "a").mapInArrow(spell, "phrase string, home bigint").distinct())
+    spread, routed = sharded(phrases, likely)
 
     def stream(left: pa.Table, right: pa.Table) -> pa.Table:
         import ahocorasick
@@ -127,22 +151,25 @@ def shared_windows(rows: DataFrame, n: int = 40) -> DataFrame:
             for p in left.column("phrase").to_pylist():
                 automaton.add_word(f" {p} ", len(p) + 2)
             automaton.make_automaton()
-            for r, t, c in zip(*(right.column(x).to_pylist() for x in ("row_id", "turn", "content"))):
-                h, _, start, end = tokens(pa.array([c]))
-                if len(h) < n:
-                    continue
-                raw = c.encode()
-                spelled = [raw[i:j].decode() for i, j in zip(start, end)]
-                first = np.cumsum([0, *(len(x) + 1 for x in spelled)])  # where each token's leading space stands
-                hit = np.array(sorted({e - size + 1 for e, size in automaton.iter(" " + " ".join(spelled) + " ")}), np.int64)
-                at = np.searchsorted(first, hit)
-                use = np.zeros(len(h) - n + 2, np.int64)
-                np.add.at(use, np.maximum(0, at + PHRASE - n), 1)
-                np.add.at(use, np.minimum(at, len(h) - n) + 1, -1)
-                w = np.flatnonzero(np.cumsum(use)[:-1] > 0)
-                if len(w):
-                    for col, v in zip(out, (window_hashes(h, n)[w].view(np.int64), window_hashes(mix(h ^ np.uint64(0xA5A5)), n)[w].view(np.int64), np.full(len(w), r), np.full(len(w), t), w)):
-                        col.append(v)
+            for b in right.to_batches():
+                for part, h, of, _, _ in pieces(b):
+                    plain = pc.utf8_trim(pc.replace_substring_regex(part.column("content"), "[ \t\n]+", " "), " ")
+                    whole = "".join(f" {x} \n" for x in plain.to_pylist())  # no phrase holds a line feed
+                    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+                    first = np.flatnonzero((points[:-1] == 32) & (points[1:] != 10))  # the space before each token
+                    hit = np.fromiter((e - size + 1 for e, size in automaton.iter(whole)), np.int64)
+                    at = np.unique(np.searchsorted(first, hit))
+                    low, high = np.searchsorted(of, of[at], "left"), np.searchsorted(of, of[at], "right")
+                    at, low, high = (x[high - low >= n] for x in (at, low, high))
+                    use = np.zeros(len(h) + 1, np.int64)
+                    np.add.at(use, np.maximum(low, at + PHRASE - n), 1)
+                    np.add.at(use, np.minimum(at, high - n) + 1, -1)
+                    w = np.flatnonzero(np.cumsum(use)[:-1] > 0)
+                    if len(w):
+                        own = of[w]
+                        row, turn = (part.column(c).to_numpy(zero_copy_only=False)[own] for c in ("row_id", "turn"))
+                        for col, v in zip(out, (window_hashes(h, n)[w].view(np.int64), window_hashes(mix(h ^ np.uint64(0xA5A5)), n)[w].view(np.int64), row, turn, w - np.searchsorted(of, own, "left"))):
+                            col.append(v)
         return pa.table(dict(zip(("w1", "w2", "row_id", "turn", "start"), (np.concatenate(c).astype(np.int64) for c in out))))
 
     windows = spread.groupBy("shard", "salt").cogroup(routed.groupBy("part", "salt")).applyInArrow(stream, "w1 bigint, w2 bigint, row_id bigint, turn bigint, start bigint")

@@ -48,6 +48,28 @@ def test_shared_windows_equal_brute_force(spark):
     assert spans.shared_messages(df.where("false")).count() == 0
 
 
+def test_automata_grow_with_the_text(spark, monkeypatch):
+    """Ten times the messages and phrases make about ten times the automata and copied phrases, and the same windows."""
+    monkeypatch.setattr(spans, "SHARD", 20)
+    monkeypatch.setattr(spans, "STREAM", 4_000)
+    made = []
+    whole = spans.sharded
+    monkeypatch.setattr(spans, "sharded", lambda p, m: made.append(whole(p, m)) or made[-1])
+    sizes = []
+    for n in (40, 400):
+        rng = random.Random(n)
+        passage = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+        specs = []
+        for i in range(n):
+            p = passage()
+            specs += [{"row_id": 10 * i + k, "said": [f"{passage()} {p}"]} for k in range(3)]
+        got = {(r.row_id, r.turn, r.start) for r in spans.shared_windows(common.rows(spark, specs)).collect()}
+        assert got == {(s["row_id"], 1, 60 + k) for s in specs for k in range(21)}
+        spread, routed = made[-1]
+        sizes.append((spread.select("shard", "salt").distinct().count(), spread.count(), routed.count()))
+    assert all(x >= 2 for x in sizes[0]) and all(5 * a < b < 15 * a for a, b in zip(*sizes))
+
+
 SUITE = "id string, title string, turns array<struct<user:string,expected:string,fail_if:string>>"
 
 
