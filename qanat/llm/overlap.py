@@ -1,4 +1,4 @@
-"""What problems 3 and 5 share: record profiles, candidate pairs from content-defined segments, and exact shares.
+"""Record profiles and exact shares, which problems 3 and 5 use, and problem 5's candidate pairs from content-defined segments.
 
 Records with equal word sequences are one *text*, known by a 64-bit id; all work on pairs is done on texts, and
 copies are only expanded at the end.
@@ -19,14 +19,18 @@ each other in one do so in the other unless the four words between them go on in
 holds if one of the two seldom has such words. A text is tangled if it has more than TANGLED further ways on a shingle:
 distinct shingles less distinct four-word runs. Two tangled texts meet in their five-word shingles, of which they share o, more than is asked for.
 
-Steps. A block of segments counts each segment's texts exactly and drops segments of one text (or of one side). The
+Steps. A block of segments counts each segment's texts exactly and drops segments of one text. The
 text gets its segments back with these counts: with m left, texts at or above t still meet in the m - c + 1 rarest
 of both; one and a half times the bound is kept so that chance meetings can be discarded by count. Only those are multiplied out.
+Blocks are as many as the measured size of the input asks for. A segment of more than HOT texts is cut into parts of its texts,
+and every two parts meet in a cell of their own. What is left is held against a bitmap of each text's shingles: o is at most a
+text's shingles less its bits that the other lacks (``possible``), so most chance pairs end there and no words travel for them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +38,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qanat.llm.runtime import cut, maybe_in, membership_filter, partitions, record_text
-from qanat.llm.textcore import SHINGLE, chunks, consistent_form, range_hashes, set_of, shingles, window_hashes, words
+from qanat.llm.runtime import cut, maybe_in, membership_filter, partitions, record_text, stored_bytes
+from qanat.llm.textcore import SHINGLE, chunks, consistent_form, least_runs, mix, range_hashes, set_of, shingles, words
 
 SEGMENT, SPREAD, SMALL = 8, 5, 64
 TANGLED = 1 / 32
 #: Pairs of segments that one step of a block's product holds at once.
 STEP = 1 << 21
-#: Bytes of a block above which its segments are counted in parts.
-HOT_BLOCK = 64 << 20
+#: Bytes that a block should have, and bytes above which its segments are counted in parts.
+BLOCK, HOT_BLOCK = 32 << 20, 64 << 20
+#: Texts of a segment above which its pairs are made in cells.
+HOT = 16_384
+#: Bits of a text's bitmap: a power of two from twice its shingles on, within these limits.
+LEAST_BITMAP, MOST_BITMAP = 64, 1 << 15
 
 
 def least_common(nx: np.ndarray, ny: np.ndarray, t: float) -> np.ndarray:
@@ -97,166 +105,164 @@ def tangled(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def segments(h: np.ndarray, of: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (segment, text number) of a batch of texts of n shingles each."""
-    out = []
-    wide = SEGMENT + SPREAD - 1
-    if len(h) >= wide:
-        g = window_hashes(h, SEGMENT)
-        low = g[: len(h) - wide + 1].copy()
-        for k in range(1, SPREAD):
-            np.minimum(low, g[k : k + len(low)], out=low)
-        own = of[: len(low)] == of[wide - 1 :]
-        low[~own] = 0
-        most = np.zeros(len(g), np.uint64)  # of a run: the largest least hash of the windows it is in
-        for k in range(SPREAD):
-            np.maximum(most[k : k + len(low)], low, out=most[k : k + len(low)])
-        at = np.flatnonzero((g == most) & (most != 0) & (n[of[: len(g)]] > SMALL))
-        out.append((g[at], of[at]))
-    all_ = ((n <= SMALL / t) | tangled(h, of, n))[of]
-    s, own = shingles(h[all_], of[all_])
-    out.append((~s, own))
-    return distinct(np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]))
-
-
-def profile(rows: DataFrame, objective: bool, t: float, more: dict[str, str], side: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, segments): (row_id, text_id, n, *more) per record, and (block, body) of packed segments.
-
-    One pass over all texts makes both: they leave it as rows of one table, which is written once. side: an
-    expression that is 1 or 2, or null for rows that take no part in pairs.
+    at, g = least_runs(h, of, SEGMENT, SEGMENT + SPREAD - 1)
+    large = n[of[at]] > SMALL
+    s, own = shingles(*(x[((n <= SMALL / t) | tangled(h, of, n))[of]] for x in (h, of)))
+    return distinct(np.concatenate([g[large], ~s]), np.concatenate([of[at][large], own]))
+
+
+def bitmaps(s: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """By text: a bit for the low end of each of its shingles' hashes."""
+    size = np.clip(1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64), LEAST_BITMAP, MOST_BITMAP)
+    start = np.cumsum(size) - size
+    bits = np.zeros(int(size.sum()), bool)
+    bits[start[own] + (s & (size[own] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return [packed[i:j] for i, j in zip((start // 8).tolist(), ((start + size) // 8).tolist())]
+
+
+def most_common(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """At most so many shingles are in both: each bit that one lacks is a shingle of the other that it lacks."""
+    size = 8 * min(len(x), len(y))
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for over in range(max(len(x), len(y)) * 8 // size, 1, -1):
+        if over & (over - 1) == 0:  # halve the longer one
+            half = size * over // 2
+            a, b = (a & ((1 << half) - 1)) | (a >> half), (b & ((1 << half) - 1)) | (b >> half)
+    return min(nx - (a & ~b).bit_count(), ny - (b & ~a).bit_count())
+
+
+def block_count(rows: DataFrame) -> int:
+    """Blocks of about BLOCK bytes; packed segments take at most about three bytes for a byte of the stored texts."""
+    return max(2 * partitions(rows.sparkSession), -(-3 * stored_bytes(rows) // BLOCK))
+
+
+def profile(rows: DataFrame, objective: bool, t: float, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, bitmaps, segments): (row_id, text_id, n) per record, (text_id, n, bitmap) per text, and (block, body) of packed segments.
+
+    One pass over all texts makes them: they leave it as rows of one table, which is written once.
     """
-    blocks = 2 * partitions(rows.sparkSession)
-    names = list(more)
-    kinds = {c: {"string": pa.string(), "bigint": pa.int64()}[k] for c, k in more.items()}
+    head = ["row_id", "text_id", "n", "block", "body"]
 
     def run(source):
         for b in source:
             for part, h, of in batches(b):
                 count = part.num_rows
                 ids = text_ids(h, of, count)
-                _, own = distinct(*shingles(h, of))
+                s, own = distinct(*shingles(h, of))
                 n = np.bincount(own, minlength=count)
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(ids), pa.array(n), *[part.column(c) for c in names], pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())], [*head, "block", "body"])
-                sides = part.column("side").fill_null(3).to_numpy(zero_copy_only=False).astype(np.int64) if side else np.zeros(count, np.int64)
-                _, once = np.unique(np.stack([ids, sides]), axis=1, return_index=True)  # copies within the batch
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(ids), pa.array(n), pa.nulls(count, pa.int64()), pa.array(bitmaps(s, own, n), pa.binary())], head)
                 use = np.zeros(count, bool)
-                use[once] = True
-                use &= sides < 3
+                use[np.unique(ids, return_index=True)[1]] = True  # copies within the batch are one text
                 sel = use[of]
                 s, own = segments(h[sel], of[sel], n, t)
-                packed = pack((s >> np.uint64(32)) % np.uint64(blocks), blocks, s.astype(np.uint32), own, ids, n, np.zeros(count, np.int64), sides)
-                none = len(packed)
-                yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64())] * 3 + [pa.nulls(none, kinds[c]) for c in names] + [pa.array([k for k, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], [*head, "block", "body"])
+                packed = pack(((s >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), s.astype(np.uint32), own, ids, n, np.zeros(count, np.int64))
+                none = pa.nulls(len(packed), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in packed], pa.int64()), pa.array([x for _, x in packed], pa.binary())], head)
 
-    head = ["row_id", "text_id", "n", *names]
-    source = texts(rows.withColumn("side", F.expr(side)) if side else rows, objective, *names, *(["side"] if side else []))
-    both = cut(source.mapInArrow(run, "row_id bigint, text_id bigint, n bigint" + "".join(f", {c} {k}" for c, k in more.items()) + ", block int, body binary"))
-    records = both.where("row_id IS NOT NULL").groupBy("row_id").agg(*[F.max(c).alias(c) for c in head[1:]])
-    return cut(records), both.where("block IS NOT NULL").select("block", "body")
+    both = cut(texts(rows, objective).mapInArrow(run, "row_id bigint, text_id bigint, n bigint, block bigint, body binary"))
+    own = both.where("block IS NULL")
+    records = cut(own.groupBy("row_id").agg(F.max("text_id").alias("text_id"), F.max("n").alias("n")))
+    return records, own.select("text_id", "n", F.col("body").alias("bitmap")), both.where("block IS NOT NULL").select("block", "body")
 
 
-def pack(block: np.ndarray, blocks: int, name: np.ndarray, own: np.ndarray, ids: np.ndarray, n: np.ndarray, m: np.ndarray, sides: np.ndarray, extra: np.ndarray | None = None) -> list[tuple[int, bytes]]:
-    """(block, body): by block its texts (id, n, m, side, number of segments) and their segments' 32-bit names, with a 16-bit extra if given."""
+def pack(block: np.ndarray, name: np.ndarray, own: np.ndarray, ids: np.ndarray, n: np.ndarray, m: np.ndarray, extra: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """(block, body): by block its texts (id, n, m, number of segments) and their segments' 32-bit names, with a 16-bit extra if given."""
     order = np.lexsort((own, block))
     name, own, block = name[order].astype(np.uint32), own[order], block[order]
     if extra is not None:
         extra = extra[order].astype(np.uint16)
-    at = np.searchsorted(block, np.arange(blocks + 1).astype(block.dtype))
+    at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
     out = []
-    for k in range(blocks):
-        i, j = at[k], at[k + 1]
-        if i < j:
-            u, c = np.unique(own[i:j], return_counts=True)
-            parts = [np.array([len(u)], np.int64), ids[u].astype(np.int64), n[u].astype(np.uint32), m[u].astype(np.uint32), c.astype(np.uint32), sides[u].astype(np.uint8), name[i:j]]
-            out.append((k, b"".join(x.tobytes() for x in parts + ([extra[i:j]] if extra is not None else []))))
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(block)]):
+        first = np.flatnonzero(np.append(True, own[i + 1 : j] != own[i : j - 1]))
+        u, c = own[i + first], np.diff(np.append(first, j - i))
+        parts = [np.array([len(u)], np.int64), ids[u].astype(np.int64), n[u].astype(np.uint32), m[u].astype(np.uint32), c.astype(np.uint32), name[i:j]]
+        out.append((int(block[i]), b"".join(x.tobytes() for x in parts + ([extra[i:j]] if extra is not None else []))))
     return out
 
 
 def unpack(bodies, with_extra: bool = False) -> tuple[np.ndarray, ...]:
-    """(name, id, n, m, side[, extra]) of every segment in the bodies."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5 + with_extra)]
+    """(name, id, n, m[, extra]) of every segment in the bodies."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(4 + with_extra)]
     for x in bodies:
         x = x.as_py()
         (u,) = np.frombuffer(x, np.int64, 1)
         ids = np.frombuffer(x, np.int64, u, 8)
         n, m, c = (np.frombuffer(x, np.uint32, u, 8 + 8 * u + 4 * u * k) for k in range(3))
-        sides = np.frombuffer(x, np.uint8, u, 8 + 20 * u)
         total = int(c.sum())
-        name = np.frombuffer(x, np.uint32, total, 8 + 21 * u)
-        for col, v in zip(cols, [name, *(np.repeat(v, c) for v in (ids, n, m, sides)), *([np.frombuffer(x, np.uint16, total, 8 + 21 * u + 4 * total)] if with_extra else [])]):
+        name = np.frombuffer(x, np.uint32, total, 8 + 20 * u)
+        for col, v in zip(cols, [name, *(np.repeat(v, c) for v in (ids, n, m)), *([np.frombuffer(x, np.uint16, total, 8 + 20 * u + 4 * total)] if with_extra else [])]):
             col.append(v)
     return tuple(np.concatenate(c) for c in cols)
 
 
-def _once(name, ids, n, m, side, *more):
-    """Without the copies that came from other batches; sorted by name, id and side."""
-    order = np.lexsort((side, ids, name))
-    name, ids, n, m, side, *more = (x[order] for x in (name, ids, n, m, side, *more))
-    first = np.ones(len(name), bool)
-    first[1:] = (name[1:] != name[:-1]) | (ids[1:] != ids[:-1]) | (side[1:] != side[:-1])
-    return tuple(x[first] for x in (name, ids, n, m, side, *more))
+def _once(name, ids, *more):
+    """Without the copies that came from other batches; sorted by name and id."""
+    order = np.lexsort((ids, name))
+    name, ids, *more = (x[order] for x in (name, ids, *more))
+    first = np.append(True, (name[1:] != name[:-1]) | (ids[1:] != ids[:-1]))
+    return tuple(x[first] for x in (name, ids, *more))
+
+
+def heat(df: np.ndarray) -> np.ndarray:
+    """Numbers of texts in 16 bits, in the same order: up to HOT as they are, then HOT more than the parts of HOT texts."""
+    return np.minimum(np.where(df <= HOT, df, HOT - (-df // HOT)), 65535)
 
 
-def candidates(packed: DataFrame, t: float) -> DataFrame:
-    """(a, b): pairs of different texts, a < b, that the bound can't discard; with sides, one of each.
+def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
+    """(a, b): pairs of different texts, a < b, that the bound can't discard.
 
     A block that a hot segment makes large is counted in parts of HOT_BLOCK bytes, whose tallies are merged.
     """
-    blocks = 2 * partitions(packed.sparkSession)
-    schema = "block int, body binary"
+    schema = "block bigint, body binary"
     sizes = packed.groupBy("block").agg(F.sum(F.octet_length("body")).alias("bytes")).where(F.col("bytes") > HOT_BLOCK)
-    parts = [(r.block, -(-r.bytes // HOT_BLOCK)) for r in sizes.collect()]
+    parts = [(r.block, -(-r.bytes // HOT_BLOCK)) for r in sizes.collect()]  # blocks are made large enough to have few of these
     cold = packed.where(~F.col("block").isin([b for b, _ in parts])) if parts else packed
 
     def table(out: list[tuple[int, bytes]]) -> pa.Table:
-        return pa.table({"block": pa.array([k for k, _ in out], pa.int32()), "body": pa.array([x for _, x in out], pa.binary())})
+        return pa.table({"block": pa.array([k for k, _ in out], pa.int64()), "body": pa.array([x for _, x in out], pa.binary())})
 
-    def number(ids, side):
-        key = ids * 4 + side  # for grouping only: equal keys of two texts would have to differ in id by a multiple of 2**62
-        u, first, own = np.unique(key, return_index=True, return_inverse=True)
-        return first, own
-
-    def tally(name, ids, side) -> tuple[np.ndarray, ...]:
-        """By segment: its name, number of texts, least and largest text, and which sides it has; input sorted by name."""
+    def tally(name, ids) -> tuple[np.ndarray, ...]:
+        """By segment: its name, number of texts, least and largest text; input sorted by name and id."""
         start = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        df = np.diff(np.append(start, len(name)))
-        return name[start], df, np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start), np.bitwise_or.reduceat(side, start)
-
-    def useful(low, high, sides):
-        return (low != high) & ((sides == 3) | (sides == 0))
+        end = np.append(start[1:], len(name))
+        return name[start], end - start, ids[start], ids[end - 1]
 
-    def send(k: int, name, ids, n, side, df) -> pa.Table:
+    def send(k: int, name, ids, n, df) -> pa.Table:
         """Segments with their numbers of texts, back to the texts; the block goes along as m, so that names of two blocks stay apart."""
-        first, own = number(ids, side)
-        to = (ids[first].view(np.uint64) >> np.uint64(7)) % np.uint64(blocks)
-        return table(pack(to[own], blocks, name, own, ids[first], n[first], np.full(len(first), k), side[first], np.minimum(df, 65535)))
+        u, first, own = np.unique(ids, return_index=True, return_inverse=True)
+        to = ((u.view(np.uint64) >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
+        return table(pack(to[own], name, own, u, n[first], np.full(len(u), k), heat(df)))
 
     def count(x: pa.Table) -> pa.Table:
         """Segments that have another text."""
-        (k,) = set(x.column("block").to_pylist())
-        name, ids, n, _, side = _once(*unpack(x.column("body")))
-        _, df, low, high, sides = tally(name, ids, side)
-        keep = np.repeat(useful(low, high, sides), df)
-        return send(k, name[keep], ids[keep], n[keep], side[keep], np.repeat(df, df)[keep]) if keep.any() else table([])
+        k = x.column("block")[0].as_py()
+        name, ids, n, _ = _once(*unpack(x.column("body")))
+        _, df, low, high = tally(name, ids)
+        keep = np.repeat(low != high, df)
+        return send(k, name[keep], ids[keep], n[keep], np.repeat(df, df)[keep]) if keep.any() else table([])
 
     def part(x: pa.Table) -> pa.Table:
         """The tally of a part of a hot block."""
-        (k,) = set(x.column("block").to_pylist())
-        name, ids, _, _, side = _once(*unpack(x.column("body")))
-        name, df, low, high, sides = tally(name, ids, side)
-        return table([(k, b"".join(c.tobytes() for c in (np.array([len(name)], np.int64), low, high, df.astype(np.int64), name, sides)))])
+        k = x.column("block")[0].as_py()
+        name, ids, _, _ = _once(*unpack(x.column("body")))
+        name, df, low, high = tally(name, ids)
+        return table([(k, b"".join(c.tobytes() for c in (np.array([len(name)], np.int64), low, high, df.astype(np.int64), name)))])
 
     def merge(x: pa.Table) -> pa.Table:
         """The tallies of all parts together: useful segments, sorted, and their numbers of texts."""
-        (k,) = set(x.column("block").to_pylist())
-        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        k = x.column("block")[0].as_py()
+        cols: list[list[np.ndarray]] = [[] for _ in range(4)]
         for body in x.column("body").to_pylist():
             (u,) = np.frombuffer(body, np.int64, 1)
-            for col, v in zip(cols, (*(np.frombuffer(body, np.int64, u, 8 + 8 * u * i) for i in range(3)), np.frombuffer(body, np.uint32, u, 8 + 24 * u), np.frombuffer(body, np.uint8, u, 8 + 28 * u))):
+            for col, v in zip(cols, (*(np.frombuffer(body, np.int64, u, 8 + 8 * u * i) for i in range(3)), np.frombuffer(body, np.uint32, u, 8 + 24 * u))):
                 col.append(v)
-        low, high, df, name, sides = (np.concatenate(c) for c in cols)
+        low, high, df, name = (np.concatenate(c) for c in cols)
         order = np.argsort(name, kind="stable")
-        low, high, df, name, sides = (c[order] for c in (low, high, df, name, sides))
+        low, high, df, name = (c[order] for c in (low, high, df, name))
         start = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        keep = useful(np.minimum.reduceat(low, start), np.maximum.reduceat(high, start), np.bitwise_or.reduceat(sides, start))
+        keep = np.minimum.reduceat(low, start) != np.maximum.reduceat(high, start)
         name, df = name[start][keep], np.add.reduceat(df, start)[keep]
         return table([(k, np.array([len(name)], np.int64).tobytes() + df.tobytes() + name.tobytes())])
 
@@ -264,46 +270,50 @@ def candidates(packed: DataFrame, t: float) -> DataFrame:
         """A part's segments that the merged tally knows."""
         if not x.num_rows or not y.num_rows:
             return table([])
-        (k,) = set(x.column("block").to_pylist())
+        k = x.column("block")[0].as_py()
         (body,) = y.column("body").to_pylist()
         (u,) = np.frombuffer(body, np.int64, 1)
         df, known = np.frombuffer(body, np.int64, u, 8), np.frombuffer(body, np.uint32, u, 8 + 8 * u)
-        name, ids, n, _, side = _once(*unpack(x.column("body")))
+        name, ids, n, _ = _once(*unpack(x.column("body")))
         at = np.minimum(np.searchsorted(known, name), max(0, u - 1))
         keep = known[at] == name if u else np.zeros(len(name), bool)
-        return send(k, name[keep], ids[keep], n[keep], side[keep], df[at][keep]) if keep.any() else table([])
+        return send(k, name[keep], ids[keep], n[keep], df[at][keep]) if keep.any() else table([])
 
     def choose(x: pa.Table) -> pa.Table:
-        """Each text's rarest shared segments, as many as the bound asks for."""
-        name, ids, n, block, side, df = unpack(x.column("body"), True)
-        first, own = number(ids, side)
+        """Each text's rarest shared segments, as many as the bound asks for, to the cells where they meet others."""
+        name, ids, n, block, df = unpack(x.column("body"), True)
+        u, first, own = np.unique(ids, return_index=True, return_inverse=True)
         order = np.lexsort((name, block, own))  # a text whose copies were counted in several parts comes with each
-        new = np.append(True, (np.diff(name[order]) != 0) | (np.diff(block[order]) != 0) | (np.diff(own[order]) != 0))
-        order = order[new]
-        name, block, df, own = name[order], block[order], df[order], own[order]
-        m = np.bincount(own, minlength=len(first))
+        order = order[np.append(True, (np.diff(name[order]) != 0) | (np.diff(block[order]) != 0) | (np.diff(own[order]) != 0))]
+        name, block, df, own = name[order], block[order].astype(np.int64), df[order].astype(np.int64), own[order]
+        m = np.bincount(own, minlength=len(u))
         order = np.lexsort((name, block, df, own))
-        name, block, own = name[order], block[order], own[order]
+        name, block, df, own = name[order], block[order], df[order], own[order]
         rank = np.arange(len(own)) - (np.cumsum(m) - m)[own]
         keep = rank < chosen(n[first].astype(np.int64), m, t)[own]
-        return table(pack(block[keep].astype(np.int64), blocks, name[keep], own[keep], ids[first], n[first], m, side[first]))
-
-    def product(x: pa.Table) -> pa.Table:
-        """The block of the text by segment matrix times its transpose, offset by offset, so that a step holds at most STEP pairs however many texts a segment has."""
-        name, ids, n, m, side = _once(*unpack(x.column("body")))
+        name, block, df, own = name[keep], block[keep], df[keep], own[keep]
+        cells = np.maximum(1, df - HOT)
+        home = (mix(u)[own] % cells.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(own)), cells)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+        low, high = np.minimum(home[at], other), np.maximum(home[at], other)
+        return table(pack((block[at] << 32) | (low << 16) | high, name[at], own[at], u, n[first], m, home[at]))
+
+    def product(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cell's text by segment matrix times its transpose, offset by offset, so that a step holds at most STEP pairs however many texts a segment has."""
+        x = pa.Table.from_batches(list(source))
+        cell = x.column("block")[0].as_py()
+        across = (cell >> 16) & 0xFFFF != cell & 0xFFFF
+        name, ids, n, m, home = _once(*unpack(x.column("body"), True))
         n, m = n.astype(np.int64), m.astype(np.int64)
         held: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
         size = 0
 
-        def settle() -> None:
-            nonlocal held, size
-            if held:
-                y = np.concatenate(held, axis=1)
-                y = y[:, np.lexsort((y[1], y[0]))]
-                at = np.flatnonzero(np.append(True, (y[:2, 1:] != y[:2, :-1]).any(axis=0)))
-                sums.append(np.concatenate([y[:, at], np.diff(np.append(at, y.shape[1]))[None]]))
-                held, size = [], 0
+        def settled() -> pa.RecordBatch:
+            y = np.concatenate(held, axis=1)
+            y = y[:, np.lexsort((y[1], y[0]))]
+            at = np.flatnonzero(np.append(True, (y[:2, 1:] != y[:2, :-1]).any(axis=0)))
+            return pa.RecordBatch.from_arrays([*(pa.array(v) for v in y[:, at]), pa.array(np.diff(np.append(at, y.shape[1])))], ["a", "b", "need", "common"])
 
         live, step = np.arange(len(name)), 1
         while len(live):
@@ -312,8 +322,9 @@ def candidates(packed: DataFrame, t: float) -> DataFrame:
             for i in range(0, len(live), STEP):
                 p = live[i : i + STEP]
                 q = p + step
-                ok = (ids[p] != ids[q]) & ((side[p] != side[q]) | (side[p] == 0))
-                ok &= np.minimum(n[p], n[q]) >= t * np.maximum(n[p], n[q]) - 1e-9
+                ok = np.minimum(n[p], n[q]) >= t * np.maximum(n[p], n[q]) - 1e-9
+                if across:
+                    ok &= home[p] != home[q]
                 p, q = p[ok], q[ok]
                 c = least_common(n[p], n[q], t)
                 ok = np.minimum(m[p], m[q]) >= c
@@ -322,15 +333,15 @@ def candidates(packed: DataFrame, t: float) -> DataFrame:
                 held.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), need]))
                 size += len(p)
                 if size >= STEP:
-                    settle()
+                    yield settled()
+                    held, size = [], 0
             step += 1
-        settle()
-        y = np.concatenate(sums, axis=1) if sums else np.zeros((4, 0), np.int64)
-        return pa.table({"a": y[0], "b": y[1], "need": y[2], "common": y[3]})
+        if size:
+            yield settled()
 
     back = cold.groupBy("block").applyInArrow(count, schema)
     if parts:
-        salts = F.broadcast(packed.sparkSession.createDataFrame(parts, "block int, parts int"))  # at most one row per block
+        salts = F.broadcast(packed.sparkSession.createDataFrame(parts, "block bigint, parts int"))  # at most one row per block
         hot = packed.join(salts, "block").select("block", "body", F.pmod(F.xxhash64("body"), "parts").cast("int").alias("part"))
         tallies = hot.groupBy("block", "part").applyInArrow(part, schema).groupBy("block").applyInArrow(merge, schema)
         spread = tallies.join(salts, "block").select("block", "body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -341,6 +352,19 @@ def candidates(packed: DataFrame, t: float) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("common").alias("common")).where("common >= need").select("a", "b")
 
 
+def possible(pairs: DataFrame, maps: DataFrame, t: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose bitmaps allow a share of ``t``."""
+    maps = maps.dropDuplicates(["text_id"])
+
+    def run(source):
+        for b in source:
+            x, nx, y, ny = (b.column(c).to_pylist() for c in ("map_a", "n_a", "map_b", "n_b"))
+            ok = [most_common(p, k, q, l) >= t / (1 + t) * (k + l) - 1e-6 for p, k, q, l in zip(x, nx, y, ny)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return pairs.join(maps.toDF("a", "n_a", "map_a"), "a").join(maps.toDF("b", "n_b", "map_b"), "b").mapInArrow(run, "a bigint, b bigint")
+
+
 def with_words(pairs: DataFrame, rows: DataFrame, records: DataFrame, objective: bool) -> DataFrame:
     """``pairs`` (a, b) with the word hashes of both texts, as words_a and words_b.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qanat.llm.runtime import cut, maybe_in, membership_filter, spoken
-from qanat.llm.textcore import chunks, mix, range_hashes, window_hashes
+from qanat.llm.textcore import chunks, least_runs, mix, range_hashes, window_hashes
 
 #: Tokens of a phrase; a span of n tokens always holds the phrase with the least hash among its n - PHRASE + 1.
 PHRASE = 16
@@ -36,26 +36,6 @@ def tokens(content: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return range_hashes(raw, start, end), np.searchsorted(offsets, start, "right") - 1, start, end
 
 
-def anchors(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """First tokens of the phrases that have the least hash of some n-token window; equal windows have equal anchors."""
-    if len(h) < n:
-        return np.zeros(0, np.int64)
-    g, spread = window_hashes(h, PHRASE), n - PHRASE + 1
-    low, width = g, 1
-    while width < spread:  # doubling
-        step = min(width, spread - width)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        width += step
-    low = np.where(of[: len(low)] == of[n - 1 :], low, np.uint64(0))
-    most = np.concatenate([np.zeros(spread - 1, np.uint64), low, np.zeros(spread - 1, np.uint64)])
-    width = 1
-    while width < spread:
-        step = min(width, spread - width)
-        most = np.maximum(most[: len(most) - step], most[step:])
-        width += step
-    return np.flatnonzero((g == most[: len(g)]) & (g != 0))
-
-
 def pieces(b: pa.RecordBatch):
     """(slice, its token hashes, message numbers, starts, ends) of bounded size."""
     content = b.column("content")
@@ -96,8 +76,8 @@ def shared_windows(rows: DataFrame, n: int = 40) -> DataFrame:
     def mark(batches):
         for b in batches:
             for part, h, of, _, _ in pieces(b):
-                at = anchors(h, of, n)
-                key = np.unique(np.stack([of[at], window_hashes(h, PHRASE)[at].view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+                at, g = least_runs(h, of, PHRASE, n)
+                key = np.unique(np.stack([of[at], g.view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
                 own = pa.array(key[0].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key[1].astype(np.int64)), part.column("row_id").take(own), part.column("turn").take(own)], ["anchor", "row_id", "turn"])
 

@@ -218,3 +218,26 @@ def shingles(h: np.ndarray, text: np.ndarray, n: int = SHINGLE) -> tuple[np.ndar
 def set_of(word_hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingles of one text's words."""
     return np.unique(window_hashes(word_hashes, n))
+
+
+def rolling_least(g: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        g = np.minimum(g[: max(0, len(g) - step)], g[step:])
+        have += step
+    return g
+
+
+def least_runs(h: np.ndarray, of: np.ndarray, run: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each run of ``run`` words that has the least hash in some ``width`` words of one text; equal widths have equal ones."""
+    if len(h) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g, spread = window_hashes(h, run), width - run + 1
+    low = rolling_least(g, spread)
+    low = np.where(of[: len(low)] == of[width - 1 :], low, np.uint64(0))
+    edge = np.zeros(spread - 1, np.uint64)
+    most = ~rolling_least(~np.concatenate([edge, low, edge]), spread)  # of a run: the largest least hash of the widths it is in
+    at = np.flatnonzero((g == most[: len(g)]) & (g != 0))
+    return at, g[at]
