@@ -18,8 +18,8 @@ HELD = 1 << 19
 def measured(rows: DataFrame, threshold: float, objective: bool) -> tuple[DataFrame, DataFrame]:
     """(records, pairs): records (row_id, text_id, n) and candidate pairs (a, b, words_a, words_b) of different texts."""
     blocks = block_count(rows)
-    records, bitmaps, packed = profile(rows, objective, threshold, blocks)
-    likely = cut(possible(candidates(packed, threshold, blocks), bitmaps, threshold))
+    records, bitmaps, sketches, packed = profile(rows, objective, threshold, blocks)
+    likely = cut(possible(candidates(packed, sketches, threshold, blocks), bitmaps, threshold))
     return records, with_words(likely, rows, records, objective)
 
 

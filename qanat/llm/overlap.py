@@ -23,7 +23,9 @@ Steps. A block of segments counts each segment's texts exactly and drops segment
 text gets its segments back with these counts: with m left, texts at or above t still meet in the m - c + 1 rarest
 of both; one and a half times the bound is kept so that chance meetings can be discarded by count. Only those are multiplied out.
 Blocks are as many as the measured size of the input asks for. A segment of more than HOT texts is cut into parts of its texts,
-and every two parts meet in a cell of their own. What is left is held against a bitmap of each text's shingles: o is at most a
+and every two parts meet in a cell of their own. Long texts that share templates meet by chance in one or two segments where a dozen are asked for,
+and the number of such pairs grows with the square of the corpus; so each text brings a sketch of 32 bytes to the product (``sketches``, ``alike``), by which
+nearly all of them end before they are written. What is left is held against a bitmap of each text's shingles: o is at most a
 text's shingles less its bits that the other lacks (``possible``), so most chance pairs end there and no words travel for them.
 """
 
@@ -49,6 +51,10 @@ STEP = 1 << 21
 BLOCK, HOT_BLOCK = 32 << 20, 64 << 20
 #: Texts of a segment above which its pairs are made in cells.
 HOT = 16_384
+#: Shingles from which on a text's sketch is of its least hashes; those of smaller texts are bitmaps.
+SKETCHED = 256
+#: Standard deviations below its mean that the count of equal least hashes may lie: a pair at the threshold is lost once in a thousand million.
+DEVIATIONS = 6.0
 #: Bits of a text's bitmap: a power of two from twice its shingles on, within these limits.
 LEAST_BITMAP, MOST_BITMAP = 64, 1 << 15
 
@@ -121,6 +127,35 @@ def bitmaps(s: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [packed[i:j] for i, j in zip((start // 8).tolist(), ((start + size) // 8).tolist())]
 
 
+def sketches(s: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By text four words: of less than SKETCHED shingles a bitmap of their hashes; of more, for each of 128 ranges of hashes, two bits of the
+    least shingle in it, all low bits before all high ones. Input sorted by text and hash; an empty range has the bits of its number."""
+    small = n[own] < SKETCHED
+    bits = np.zeros((len(n), 256), bool)
+    bits[own[small], (s[small] >> np.uint64(56)).astype(np.int64)] = True
+    s, own = s[~small], own[~small]
+    large = np.flatnonzero(n >= SKETCHED)
+    codes = np.broadcast_to(np.arange(128, dtype=np.uint8) & 3, (len(n), 128)).copy()
+    place = own.astype(np.int64) * 128 + (s >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+    codes.reshape(-1)[place[first]] = (s[first] & np.uint64(3)).astype(np.uint8)
+    bits[large, :128], bits[large, 128:] = codes[large] & 1, codes[large] >> 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def alike(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, t: float) -> np.ndarray:
+    """Whether the sketches of two texts allow a share of t. Bitmaps prove what they deny; least hashes of two texts at share t are
+    equal, or their two bits by chance, with probability t + (1 - t) / 4 or more in each range. A bitmap and least hashes deny nothing."""
+    a, b = nx < SKETCHED, ny < SKETCHED
+    only = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1)
+    lacking = np.minimum(nx - only(x, y), ny - only(y, x)) < t / (1 + t) * (nx + ny) - 1e-6
+    differ = x ^ y
+    equal = 128 - np.bitwise_count(differ[:, :2] | differ[:, 2:]).sum(axis=1).astype(np.int64)
+    p = t + (1 - t) / 4
+    unlike = equal < 128 * p - DEVIATIONS * math.sqrt(128 * p * (1 - p))
+    return ~((a & b & lacking) | (~a & ~b & unlike))
+
+
 def most_common(x: bytes, nx: int, y: bytes, ny: int) -> int:
     """At most so many shingles are in both: each bit that one lacks is a shingle of the other that it lacks."""
     size = 8 * min(len(x), len(y))
@@ -137,8 +172,8 @@ def block_count(rows: DataFrame) -> int:
     return max(2 * partitions(rows.sparkSession), -(-3 * stored_bytes(rows) // BLOCK))
 
 
-def profile(rows: DataFrame, objective: bool, t: float, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, bitmaps, segments): (row_id, text_id, n) per record, (text_id, n, bitmap) per text, and (block, body) of packed segments.
+def profile(rows: DataFrame, objective: bool, t: float, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, bitmaps, sketches, segments): (row_id, text_id, n) per record, (text_id, n, bitmap) per text, and (block, body) of packed sketches and segments.
 
     One pass over all texts makes them: they leave it as rows of one table, which is written once.
     """
@@ -153,7 +188,13 @@ def profile(rows: DataFrame, objective: bool, t: float, blocks: int) -> tuple[Da
                 n = np.bincount(own, minlength=count)
                 yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(ids), pa.array(n), pa.nulls(count, pa.int64()), pa.array(bitmaps(s, own, n), pa.binary())], head)
                 use = np.zeros(count, bool)
-                use[np.unique(ids, return_index=True)[1]] = True  # copies within the batch are one text
+                once = np.unique(ids, return_index=True)[1]  # copies within the batch are one text
+                use[once] = True
+                sketch = sketches(s, own, n)[once]
+                to = home_of(ids[once], blocks)
+                parts = [(k, np.concatenate([ids[once][to == k].view(np.uint64)[:, None], sketch[to == k]], axis=1)) for k in np.unique(to).tolist()]
+                none = pa.nulls(len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([-1 - k for k, _ in parts], pa.int64()), pa.array([x.tobytes() for _, x in parts], pa.binary())], head)
                 sel = use[of]
                 s, own = segments(h[sel], of[sel], n, t)
                 packed = pack(((s >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), s.astype(np.uint32), own, ids, n, np.zeros(count, np.int64))
@@ -163,11 +204,16 @@ def profile(rows: DataFrame, objective: bool, t: float, blocks: int) -> tuple[Da
     both = cut(texts(rows, objective).mapInArrow(run, "row_id bigint, text_id bigint, n bigint, block bigint, body binary"))
     own = both.where("block IS NULL")
     records = cut(own.groupBy("row_id").agg(F.max("text_id").alias("text_id"), F.max("n").alias("n")))
-    return records, own.select("text_id", "n", F.col("body").alias("bitmap")), both.where("block IS NOT NULL").select("block", "body")
+    return records, own.select("text_id", "n", F.col("body").alias("bitmap")), both.where("block < 0").select((-1 - F.col("block")).alias("block"), "body"), both.where("block >= 0").select("block", "body")
+
 
+def home_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """The block in which a text's segments come together."""
+    return ((ids.view(np.uint64) >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
 
-def pack(block: np.ndarray, name: np.ndarray, own: np.ndarray, ids: np.ndarray, n: np.ndarray, m: np.ndarray, extra: np.ndarray | None = None) -> list[tuple[int, bytes]]:
-    """(block, body): by block its texts (id, n, m, number of segments) and their segments' 32-bit names, with a 16-bit extra if given."""
+
+def pack(block: np.ndarray, name: np.ndarray, own: np.ndarray, ids: np.ndarray, n: np.ndarray, m: np.ndarray, extra: np.ndarray | None = None, sketch: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """(block, body): by block its texts (id, n, m, number of segments) and their segments' 32-bit names, with a 16-bit extra and the texts' sketches if given."""
     order = np.lexsort((own, block))
     name, own, block = name[order].astype(np.uint32), own[order], block[order]
     if extra is not None:
@@ -178,13 +224,14 @@ def pack(block: np.ndarray, name: np.ndarray, own: np.ndarray, ids: np.ndarray,
         first = np.flatnonzero(np.append(True, own[i + 1 : j] != own[i : j - 1]))
         u, c = own[i + first], np.diff(np.append(first, j - i))
         parts = [np.array([len(u)], np.int64), ids[u].astype(np.int64), n[u].astype(np.uint32), m[u].astype(np.uint32), c.astype(np.uint32), name[i:j]]
-        out.append((int(block[i]), b"".join(x.tobytes() for x in parts + ([extra[i:j]] if extra is not None else []))))
+        more = ([] if extra is None else [extra[i:j]]) + ([] if sketch is None else [sketch[u]])
+        out.append((int(block[i]), b"".join(x.tobytes() for x in parts + more)))
     return out
 
 
-def unpack(bodies, with_extra: bool = False) -> tuple[np.ndarray, ...]:
-    """(name, id, n, m[, extra]) of every segment in the bodies."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(4 + with_extra)]
+def unpack(bodies, with_extra: bool = False, with_sketch: bool = False) -> tuple[np.ndarray, ...]:
+    """(name, id, n, m[, extra][, sketch]) of every segment in the bodies."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(4 + with_extra + with_sketch)]
     for x in bodies:
         x = x.as_py()
         (u,) = np.frombuffer(x, np.int64, 1)
@@ -192,7 +239,9 @@ def unpack(bodies, with_extra: bool = False) -> tuple[np.ndarray, ...]:
         n, m, c = (np.frombuffer(x, np.uint32, u, 8 + 8 * u + 4 * u * k) for k in range(3))
         total = int(c.sum())
         name = np.frombuffer(x, np.uint32, total, 8 + 20 * u)
-        for col, v in zip(cols, [name, *(np.repeat(v, c) for v in (ids, n, m)), *([np.frombuffer(x, np.uint16, total, 8 + 20 * u + 4 * total)] if with_extra else [])]):
+        extra = [np.frombuffer(x, np.uint16, total, 8 + 20 * u + 4 * total)] if with_extra else []
+        sketch = [np.repeat(np.frombuffer(x, np.uint64, 4 * u, len(x) - 32 * u).reshape(-1, 4), c, axis=0)] if with_sketch else []
+        for col, v in zip(cols, [name, *(np.repeat(v, c) for v in (ids, n, m)), *extra, *sketch]):
             col.append(v)
     return tuple(np.concatenate(c) for c in cols)
 
@@ -210,7 +259,7 @@ def heat(df: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(df <= HOT, df, HOT - (-df // HOT)), 65535)
 
 
-def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
+def candidates(packed: DataFrame, sketch: DataFrame, t: float, blocks: int) -> DataFrame:
     """(a, b): pairs of different texts, a < b, that the bound can't discard.
 
     A block that a hot segment makes large is counted in parts of HOT_BLOCK bytes, whose tallies are merged.
@@ -232,8 +281,7 @@ def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
     def send(k: int, name, ids, n, df) -> pa.Table:
         """Segments with their numbers of texts, back to the texts; the block goes along as m, so that names of two blocks stay apart."""
         u, first, own = np.unique(ids, return_index=True, return_inverse=True)
-        to = ((u.view(np.uint64) >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
-        return table(pack(to[own], name, own, u, n[first], np.full(len(u), k), heat(df)))
+        return table(pack(home_of(u, blocks)[own], name, own, u, n[first], np.full(len(u), k), heat(df)))
 
     def count(x: pa.Table) -> pa.Table:
         """Segments that have another text."""
@@ -279,8 +327,10 @@ def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
         keep = known[at] == name if u else np.zeros(len(name), bool)
         return send(k, name[keep], ids[keep], n[keep], df[at][keep]) if keep.any() else table([])
 
-    def choose(x: pa.Table) -> pa.Table:
-        """Each text's rarest shared segments, as many as the bound asks for, to the cells where they meet others."""
+    def choose(x: pa.Table, y: pa.Table) -> pa.Table:
+        """Each text's rarest shared segments, as many as the bound asks for, to the cells where they meet others, with its sketch."""
+        if not x.num_rows:
+            return table([])
         name, ids, n, block, df = unpack(x.column("body"), True)
         u, first, own = np.unique(ids, return_index=True, return_inverse=True)
         order = np.lexsort((name, block, own))  # a text whose copies were counted in several parts comes with each
@@ -297,14 +347,17 @@ def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
         at = np.repeat(np.arange(len(own)), cells)
         other = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
         low, high = np.minimum(home[at], other), np.maximum(home[at], other)
-        return table(pack((block[at] << 32) | (low << 16) | high, name[at], own[at], u, n[first], m, home[at]))
+        known = np.concatenate([np.frombuffer(v, np.uint64).reshape(-1, 5) for v in y.column("sketch").to_pylist()])
+        known = known[np.argsort(known[:, 0].view(np.int64), kind="stable")]
+        sketch = known[np.searchsorted(known[:, 0].view(np.int64), u), 1:]
+        return table(pack((block[at] << 32) | (low << 16) | high, name[at], own[at], u, n[first], m, home[at], sketch))
 
     def product(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cell's text by segment matrix times its transpose, offset by offset, so that a step holds at most STEP pairs however many texts a segment has."""
         x = pa.Table.from_batches(list(source))
         cell = x.column("block")[0].as_py()
         across = (cell >> 16) & 0xFFFF != cell & 0xFFFF
-        name, ids, n, m, home = _once(*unpack(x.column("body"), True))
+        name, ids, n, m, home, sketch = _once(*unpack(x.column("body"), True, True))
         n, m = n.astype(np.int64), m.astype(np.int64)
         held: list[np.ndarray] = []
         size = 0
@@ -329,6 +382,8 @@ def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
                 c = least_common(n[p], n[q], t)
                 ok = np.minimum(m[p], m[q]) >= c
                 p, q, c = p[ok], q[ok], c[ok]
+                ok = alike(sketch[p], n[p], sketch[q], n[q], t)
+                p, q, c = p[ok], q[ok], c[ok]
                 need = np.maximum(1, np.minimum(c - m[p] + chosen(n[p], m[p], t), c - m[q] + chosen(n[q], m[q], t)))
                 held.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), need]))
                 size += len(p)
@@ -347,7 +402,8 @@ def candidates(packed: DataFrame, t: float, blocks: int) -> DataFrame:
         spread = tallies.join(salts, "block").select("block", "body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         spread = spread.select(F.col("block").alias("b"), F.col("body").alias("body"), F.col("part").alias("p"))
         back = back.union(hot.groupBy("block", "part").cogroup(spread.groupBy("b", "p")).applyInArrow(sift, schema))
-    rare = back.groupBy("block").applyInArrow(choose, schema)
+    sketch = sketch.select(F.col("block").alias("b"), F.col("body").alias("sketch"))
+    rare = back.groupBy("block").cogroup(sketch.groupBy("b")).applyInArrow(choose, schema)
     pairs = rare.groupBy("block").applyInArrow(product, "a bigint, b bigint, need bigint, common bigint")
     return pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("common").alias("common")).where("common >= need").select("a", "b")
 

@@ -188,3 +188,36 @@ def test_alike_pairs(spark):
     assert got == [(1, 1, 2, 1), (2, 1, 3, 2), (4, 3, 5, 1)]
     forms = lookalike.consistent_messages(common.rows(spark, specs)).collect()
     assert {(r.row_id, r.turn, r.form, r.changed) for r in forms} >= {(2, 1, "fine day", True), (1, 1, "fine day", False), (4, 3, "", False)}
+
+
+def test_sketches_deny_no_pair_at_the_threshold():
+    """Of 4,000 pairs at or just above the threshold none is lost; of 4,000 pairs that share a tenth few of the long ones are left."""
+    rng = np.random.default_rng(3)
+    for size in (60, 150, 300, 700, 2000):
+        for share, kept in ((0.6, 1.0), (0.1, None)):
+            both = int(2 * size * share / (1 + share)) + 1
+            s, own = [], []
+            for i in range(400):
+                common = rng.integers(0, 2**64, both, dtype=np.uint64)
+                for k in range(2):
+                    s.append(np.sort(np.concatenate([common, rng.integers(0, 2**64, size - both, dtype=np.uint64)])))
+                    own.append(np.full(size, 2 * i + k))
+            n = np.full(800, size)
+            x = overlap.sketches(np.concatenate(s), np.concatenate(own), n)
+            ok = overlap.alike(x[::2], n[::2], x[1::2], n[1::2], 0.6)
+            assert ok.all() if kept else size in (60, 150) or ok.mean() < 0.02
+            maps = overlap.bitmaps(np.concatenate(s), np.concatenate(own), n)
+            most = np.array([overlap.most_common(maps[2 * i], size, maps[2 * i + 1], size) for i in range(400)])
+            assert (most >= both).all() and (kept or (most < 0.75 * size).mean() > 0.9)
+
+
+def test_a_family_of_near_texts(spark, monkeypatch):
+    """Every two of 150 different texts are near; their hot segments meet in cells, and groups cost no row for each pair."""
+    monkeypatch.setattr(overlap, "HOT", 20)
+    monkeypatch.setattr(neardup, "HELD", 50)
+    base = [f"b{i}" for i in range(300)]
+    specs = [{"row_id": i, "said": [" ".join(base[:k] + [f"x{i}"] + base[k:])]} for i in range(150) for k in [2 * i]]
+    df = common.rows(spark, specs)
+    assert neardup.near_pairs(df).count() == 150 * 149 // 2
+    got = neardup.near_groups(df).collect()
+    assert {r.group_id for r in got} == {0} and {r.links for r in got} == {149}
