@@ -17,14 +17,19 @@ LOOKALIKES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ӏ": "l", "Ӏ": "I", "ѡ": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
-    "Օ": "O", "Տ": "S", "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ɡ": "g", "ꓳ": "O",
+    "Օ": "O", "Տ": "S", "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ɡ": "g", "ɑ": "a", "ꓳ": "O",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
     "‐": "-", "‑": "-", "ʼ": "’", "ꞌ": "'", "∶": ":", "∕": "/", "⁄": "/", "∗": "*", "․": ".", "‚": ",", "∣": "|", "ǀ": "|", "܁": ".",
     "۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨", "۹": "٩",
 }
 #: Characters without any ink, or only a direction.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0x206A, 0x2070), 0x115F, 0x1160, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), 0xFEFF, *range(0xFFF9, 0xFFFC)]
-#: Ranges of forms that differ from their normal ones in width, joining or ligature only.
-COMPATIBLE = [(0xA0, 0xA0), (0xB5, 0xB5), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x2126, 0x2126), (0x212A, 0x212B), (0x2160, 0x217F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFB50, 0xFDFB), (0xFE80, 0xFEFC), (0xFF01, 0xFFEE)]
+#: Kinds of Unicode decompositions whose form differs from the normal one in type face, width, joining or breaking only. Raised,
+#: lowered, circled and squared forms and fractions look otherwise and stay apart.
+KINDS = ("<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<wide>", "<narrow>", "<small>")
+#: Other forms that look like what they stand for: signs, spaces, ellipses, Roman numerals, numbers in brackets and ligatures.
+COMPATIBLE = [(0xB5, 0xB5), (0x2000, 0x200A), (0x2024, 0x2026), (0x205F, 0x205F), (0x2126, 0x2126), (0x212A, 0x212B), (0x2160, 0x217F), (0x2474, 0x249B), (0xFB00, 0xFB06)]
 #: Arabic letters spelled with another code point that has the same joined shape.
 ARABIC_JOINING = "[ئبتثجحخسشصضطظعغفقكلمنهيـآأؤإابةتدذرزوىکگچپہھےٹڈڑں]"
 
@@ -34,10 +39,10 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
     """Characters that become one other character, and characters that become several."""
     one: dict[str, str] = {}
     many: dict[str, str] = {}
-    for low, high in COMPATIBLE:
-        for c in map(chr, range(low, high + 1)):
-            if ord(c) not in INVISIBLE and (to := unicodedata.normalize("NFKC", c)) != c:
-                (one if len(to) == 1 else many)[c] = to
+    listed = [c for low, high in COMPATIBLE for c in map(chr, range(low, high + 1))]
+    for c in [*listed, *(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.decomposition(c).startswith(KINDS))]:
+        if ord(c) not in INVISIBLE and (to := unicodedata.normalize("NFKC", c)) != c:
+            (one if len(to) == 1 else many)[c] = LOOKALIKES.get(to, to)
     one |= LOOKALIKES
     for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):  # letters with accents follow their letter
         parts = unicodedata.normalize("NFD", c)
@@ -61,7 +66,11 @@ def form_sql(column: str = "c") -> str:
     gone = "".join(map(chr, INVISIBLE))
     spread = f"array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda x: coalesce(getvariable('several')[x], x)), '')"
     steps = f"CASE WHEN regexp_matches({column}, {_quoted(_class(many))}) THEN {spread} ELSE {column} END"
-    steps = f"nfc_normalize(translate({steps}, {_quoted(''.join(one) + gone)}, {_quoted(''.join(one.values()))}))"
+    rare = {c: to for c, to in one.items() if unicodedata.decomposition(c).startswith("<font>")}  # texts seldom have these, so most are spared a long table
+    usual = {c: to for c, to in one.items() if c not in rare}
+    steps = f"translate({steps}, {_quoted(''.join(usual) + gone)}, {_quoted(''.join(usual.values()))})"
+    steps = f"CASE WHEN regexp_matches({column}, {_quoted(_class(rare))}) THEN translate({steps}, {_quoted(''.join(rare))}, {_quoted(''.join(rare.values()))}) ELSE {steps} END"
+    steps = f"nfc_normalize({steps})"
     # a yeh or kaf of another code point: as the Arabic one where it joins onwards, else as the dotless one
     steps = f"regexp_replace(regexp_replace({steps}, {_quoted('\\x{6cc}(' + ARABIC_JOINING + ')')}, 'ي\\1', 'g'), {_quoted('\\x{6cc}')}, 'ى', 'g')"
     steps = f"regexp_replace({steps}, {_quoted('\\x{6a9}(' + ARABIC_JOINING + ')')}, 'ك\\1', 'g')"

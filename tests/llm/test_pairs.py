@@ -221,3 +221,10 @@ def test_a_family_of_near_texts(spark, monkeypatch):
     assert neardup.near_pairs(df).count() == 150 * 149 // 2
     got = neardup.near_groups(df).collect()
     assert {r.group_id for r in got} == {0} and {r.links for r in got} == {149}
+
+
+def test_many_messages_of_one_look(spark):
+    """2,000 equal messages and one of another spelling are 2,000 pairs."""
+    specs = [{"row_id": i, "said": ["well done"]} for i in range(2000)] + [{"row_id": 5000, "said": ["wеll done"]}, {"row_id": 5000, "said": ["wеll done"]}]
+    got = lookalike.alike_pairs(common.rows(spark, specs)).collect()
+    assert {tuple(r) for r in got} == {(i, 1, 5000, 1) for i in range(2000)} and len(got) == 2000
