@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,10 +13,12 @@ from pyspark.sql import functions as F
 from qanat.llm.runtime import spoken
 from qanat.llm.textcore import chunks, consistent_form, window_hashes, words
 
-#: Item windows whose tables are broadcast at once (under 20 MB); a larger suite is searched in several such parts.
-PART = 100_000
-#: Hamming radius of the search; fingerprints are cut into RADIUS + 1 parts, of which two within it share one.
+#: Words of a part of the suite (about 60 bytes of tables a word), and parts that one pass over the corpus searches.
+PART, PASS = 500_000, 4
+#: Hamming radius for equal windows; fingerprints are cut into one part more, of which two within it share one.
 RADIUS = 2
+#: Words of the windows in which whole texts are searched; a text has those of the largest that fits it.
+WIDTHS = (12, 16, 20, 24, 30, 36, 44, 52, 64, 80, 96, 128)
 
 
 def _add(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
@@ -63,45 +67,56 @@ def simhash(h: np.ndarray, n: int) -> np.ndarray:
     return above | equal
 
 
-def block_bits(k: int) -> tuple[int, int]:
+def block_bits(k: int, radius: int = RADIUS) -> tuple[int, int]:
     """(first bit, number of bits) of part k of a fingerprint."""
-    cuts = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
     return cuts[k], cuts[k + 1] - cuts[k]
 
 
-class Suite:
-    """Windows of held-out texts, indexed by the parts of their fingerprints."""
+def radius_for(n: int, least: float) -> int:
+    """Bits that may differ: two windows of n words at weighted word-pair similarity ``least`` differ in about m of their words,
+    and each bit of their fingerprints with probability arccos(1 - m / n) / pi; one and a half deviations are added, so nine in ten are within it."""
+    changed = max(1.0, (n - 1) * (1 - least) / (2 * (1 + least)))
+    p = math.acos(1 - min(1.0, changed / n)) / math.pi
+    return min(31, math.ceil(64 * p + 1.5 * math.sqrt(64 * p * (1 - p))))
 
-    def __init__(self, keys: list[tuple], texts: list[str | None], n: int):
-        self.n, self.keys = n, keys
-        h, of = words(consistent_form(pa.array(texts, pa.string())).to_pylist())
-        own = of[: max(0, len(h) - n + 1)] == of[n - 1 :]
-        at = np.flatnonzero(own)
-        self.print, self.exact, self.of = simhash(h, n)[own], window_hashes(h, n)[own], of[at] if len(at) else np.zeros(0, np.int32)
-        pairs = window_hashes(h, 2)
-        seen, count = np.unique(pairs, return_counts=True)
-        self.pair, self.weight = seen, np.log(1 + len(h) / count)
-        self.pairs = pairs[at[:, None] + np.arange(n - 1)] if len(at) else np.zeros((0, n - 1), np.uint64)
+
+class Suite:
+    """Windows of n words of held-out texts, indexed by the parts of their fingerprints. ``ends``: only the first and last window of each text."""
+
+    def __init__(self, keys: list[tuple], texts: list[str | None], n: int, radius: int = RADIUS, ends: bool = False):
+        self.n, self.keys, self.radius = n, keys, radius
+        self.h, of = words(consistent_form(pa.array(texts, pa.string())).to_pylist())
+        own = of[: max(0, len(self.h) - n + 1)] == of[n - 1 :]
+        if ends:
+            inner = np.ones(len(own), bool)
+            inner[np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(own)])] = False
+            inner[np.flatnonzero(np.append(of[n:] != of[: max(0, len(of) - n)], True)[: len(own)])] = False
+            own &= ~inner
+        self.at = np.flatnonzero(own)
+        self.print, self.exact, self.of = simhash(self.h, n)[own], window_hashes(self.h, n)[own], of[self.at] if len(self.at) else np.zeros(0, np.int32)
+        seen, count = np.unique(window_hashes(self.h, 2), return_counts=True)
+        self.pair, self.weight = seen, np.log(1 + len(self.h) / count)
         self.index = []
-        for k in range(RADIUS + 1):
-            low, bits = block_bits(k)
+        for k in range(radius + 1):
+            low, bits = block_bits(k, radius)
             part = (self.print >> np.uint64(low)) & np.uint64((1 << bits) - 1)
             order = np.argsort(part, kind="stable")
-            there = np.zeros(1 << 20, bool)  # most windows of a corpus stop at this table
-            there[part & np.uint64((1 << 20) - 1)] = True
+            there = np.zeros(1 << min(20, bits), bool)  # most windows of a corpus stop at this table
+            there[part & np.uint64(len(there) - 1)] = True
             self.index.append((low, bits, part[order], order, there))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item window) of all fingerprints within RADIUS bits."""
+        """(window, item window) of all fingerprints within the radius."""
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, bits, parts, order, there in self.index:
             part = (prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)
-            at = np.flatnonzero(there[part & np.uint64((1 << 20) - 1)])
+            at = np.flatnonzero(there[part & np.uint64(len(there) - 1)])
             i, j = np.searchsorted(parts, part[at], "left"), np.searchsorted(parts, part[at], "right")
             c = j - i
             x = np.repeat(at, c)
             y = order[np.repeat(i - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-            ok = np.bitwise_count(prints[x] ^ self.print[y]) <= RADIUS
+            ok = np.bitwise_count(prints[x] ^ self.print[y]) <= self.radius
             a.append(x[ok])
             b.append(y[ok])
         key = np.unique(np.concatenate(a) * len(self.print) + np.concatenate(b)) if len(self.print) else np.zeros(0, np.int64)
@@ -109,7 +124,7 @@ class Suite:
 
     def similarity(self, pairs: np.ndarray, item: int) -> float:
         """Weight of the word pairs in both windows divided by that of those in either; a pair the suite lacks weighs as its rarest."""
-        x, y = np.unique(pairs), np.unique(self.pairs[item])
+        x, y = np.unique(pairs), np.unique(window_hashes(self.h[self.at[item] : self.at[item] + self.n], 2))
 
         def weigh(p):
             at = np.minimum(np.searchsorted(self.pair, p), len(self.pair) - 1)
@@ -117,6 +132,22 @@ class Suite:
 
         return weigh(np.intersect1d(x, y)) / weigh(np.union1d(x, y))
 
+    def hits(self, h: np.ndarray, of: np.ndarray, least: float) -> set[tuple[int, int]]:
+        """(text number, item) of a batch's words."""
+        n = self.n
+        if len(h) < n or not len(self.print):
+            return set()
+        own = of[: len(h) - n + 1] == of[n - 1 :]
+        at = np.flatnonzero(own)
+        x, item = self.near(simhash(h, n)[own])
+        start = at[x]
+        if least >= 1:
+            ok = window_hashes(h, n)[start] == self.exact[item]
+        else:
+            pairs = window_hashes(h, 2)
+            ok = np.array([self.similarity(pairs[s : s + n - 1], k) >= least - 1e-12 for s, k in zip(start, item)], bool)
+        return set(zip(of[start[ok]].tolist(), self.of[item[ok]].tolist()))
+
 
 def suite_texts(scenarios: DataFrame) -> DataFrame:
     """(scenario_id, turn, field, text), turns from 1; null texts give no row."""
@@ -125,53 +156,61 @@ def suite_texts(scenarios: DataFrame) -> DataFrame:
     return turns.select("scenario_id", (F.col("p") + 1).cast("bigint").alias("turn"), F.explode(fields).alias("f")).select("scenario_id", "turn", "f.field", "f.text").where("text IS NOT NULL AND scenario_id IS NOT NULL")
 
 
-def _suites(scenarios: DataFrame, n: int):
-    keys, texts, size = [], [], 0
+def _suites(scenarios: DataFrame, n: int, least: float):
+    """The parts of the suite, in lists of at most PASS."""
+    group, keys, texts, size = [], [], [], 0
+
+    def made():
+        if least >= 1:
+            return [Suite(keys, texts, n)]
+        sizes = np.bincount(words(consistent_form(pa.array(texts, pa.string())).to_pylist())[1], minlength=len(texts))
+        fits = np.searchsorted([w for w in WIDTHS if w >= n], sizes, "right")
+        out = []
+        for k, w in enumerate([w for w in WIDTHS if w >= n], 1):
+            which = np.flatnonzero(fits == k).tolist()
+            if which:
+                out.append(Suite([keys[i] for i in which], [texts[i] for i in which], w, radius_for(w, least), True))
+        return out
+
     for r in suite_texts(scenarios).orderBy("scenario_id", "turn", "field").toLocalIterator():
         keys.append((r.scenario_id, r.turn, r.field))
         texts.append(r.text)
         size += len(r.text.split())
         if size >= PART:
-            yield Suite(keys, texts, n)
+            group.append(made())
             keys, texts, size = [], [], 0
-    yield Suite(keys, texts, n)
+            if len(group) == PASS:
+                yield [s for part in group for s in part]
+                group = []
+    group.append(made())
+    yield [s for part in group for s in part]
 
 
 def leaks(rows: DataFrame, scenarios: DataFrame, n: int = 12, least: float = 1.0, split: str | None = "train") -> DataFrame:
-    """(row_id, message, scenario_id, turn, field): messages of ``split`` rows that hold ``n`` consecutive words of a held-out text.
-
-    Every n-word window of suite and corpus gets a SimHash; a multi-index over its parts finds all pairs of windows within the
-    Hamming radius, a weighted word-pair similarity of at least ``least`` confirms them, and with
-    ``least`` 1 the windows must be equal word for word. One row per message and text. Texts or messages under n
-    words hold no window; empty tables give no rows; redelivered rows count once.
+    """(row_id, message, scenario_id, turn, field): messages of ``split`` rows that hold a held-out text, or ``n`` consecutive words of one.
+
+    With ``least`` 1 every n-word window of a text is an item: windows of suite and corpus get a SimHash, a multi-index over its parts finds
+    all pairs of windows within the Hamming radius, and equality word for word confirms them, so nothing is lost.
+    With a smaller ``least`` the items are whole texts (their first and last window of the largest of WIDTHS that fits), the radius follows
+    from width and ``least`` (``radius_for``), and a weighted word-pair similarity of at least ``least`` confirms: edited copies are found too, nine in
+    ten or more of them (a fingerprint may by chance lie beyond the radius; the tests measure it).
+    One row per message and text. Texts or messages under n words hold no window; empty tables give no rows; redelivered rows count once.
+    The corpus is read once for each PASS times PART words of the suite.
     """
     spark = rows.sparkSession
     said = spoken(rows.where(F.col("split") == split) if split else rows)
     found = None
-    for suite in _suites(scenarios, n):
-        held = spark.sparkContext.broadcast(suite)
+    for suites in _suites(scenarios, n, least):
+        held = spark.sparkContext.broadcast(suites)
 
         def run(batches, held=held):
-            suite = held.value
             for b in batches:
                 content = b.column("content")
                 for i, j in chunks(pc.utf8_length(content).to_numpy(zero_copy_only=False) if len(content) else []):
                     h, of = words(consistent_form(content.slice(i, j - i)).to_pylist())
-                    if len(h) < n or not len(suite.print):
-                        continue
-                    own = of[: len(h) - n + 1] == of[n - 1 :]
-                    at = np.flatnonzero(own)
-                    x, item = suite.near(simhash(h, n)[own])
-                    start = at[x]
-                    if least >= 1:
-                        ok = window_hashes(h, n)[start] == suite.exact[item]
-                        start, item = start[ok], item[ok]
-                    pairs = window_hashes(h, 2)
-                    ok = np.array([suite.similarity(pairs[s : s + n - 1], k) >= least - 1e-12 for s, k in zip(start, item)], bool)
-                    hits = sorted({(int(of[s]) + i, int(suite.of[k])) for s, k in zip(start[ok], item[ok])})
+                    hits = sorted({(m + i, suite.keys[k]) for suite in held.value for m, k in suite.hits(h, of, least)})
                     which = pa.array([m for m, _ in hits], pa.int64())
-                    keys = [suite.keys[k] for _, k in hits]
-                    yield pa.RecordBatch.from_arrays([b.column("row_id").take(which), b.column("turn").take(which), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string())], ["row_id", "message", "scenario_id", "turn", "field"])
+                    yield pa.RecordBatch.from_arrays([b.column("row_id").take(which), b.column("turn").take(which), *(pa.array([k[c] for _, k in hits], kind) for c, kind in enumerate((pa.string(), pa.int64(), pa.string())))], ["row_id", "message", "scenario_id", "turn", "field"])
 
         part = said.drop("role").mapInArrow(run, "row_id bigint, message bigint, scenario_id string, turn bigint, field string")
         found = part if found is None else found.union(part)

@@ -118,3 +118,30 @@ def test_index_finds_all_within_radius():
     x, y = suite.near(prints)
     d = np.bitwise_count(prints[:, None] ^ suite.print[None])
     assert set(zip(x.tolist(), y.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(d <= leaks.RADIUS))))
+
+
+def test_edited_copies_of_whole_texts(spark):
+    """Recall of texts with one or two words changed whose best window keeps a similarity of 0.8, against brute force."""
+    rng = random.Random(7)
+    bag = [f"v{i}" for i in range(2000)]
+    suite, specs = [], []
+    for i in range(90):
+        text = [rng.choice(bag) for _ in range(rng.randrange(20, 90))]
+        suite.append((f"s{i}", "t", [(" ".join(text), None, None)]))
+        for _ in range(1 + i % 2):
+            text[rng.randrange(len(text))] = "changed"
+        specs.append({"row_id": i, "said": [" ".join(rng.choice(bag) for _ in range(15)) + " " + " ".join(text) + " and so on"]})
+    specs += [{"row_id": 1000 + i, "said": [" ".join(rng.choice(bag) for _ in range(80))]} for i in range(30)]
+    df, sc = common.rows(spark, specs), spark.createDataFrame(suite, SUITE)
+    got = {(r.row_id, r.scenario_id) for r in leaks.leaks(df, sc, least=0.8).collect()}
+    want = set()
+    for part in leaks._suites(sc, 12, 0.8):
+        for held in part:
+            for s in specs:
+                h = leaks.words([s["said"][0]])[0]
+                pairs = leaks.window_hashes(h, 2)
+                for k in range(len(held.at)):
+                    if any(held.similarity(pairs[i : i + held.n - 1], k) >= 0.8 for i in range(max(0, len(h) - held.n + 1)) if len(np.intersect1d(pairs[i : i + held.n - 1], leaks.window_hashes(held.h[held.at[k] : held.at[k] + held.n], 2))) > held.n // 2):
+                        want.add((s["row_id"], held.keys[held.of[k]][0]))
+    assert len(want) > 60 and got <= want
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
