@@ -57,19 +57,20 @@ def _kinds() -> np.ndarray:
 
 
 class Filters:
-    """One byte per slot and hash: bit k says that language k has an n-gram there, so one look-up answers for all languages."""
+    """One word per slot and hash, a byte for up to eight languages: bit k says that language k has an n-gram there, so one look-up answers for all languages."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in samples})
-        if len(self.languages) > 8:
-            raise ValueError("a byte holds eight languages")
-        self.slots = {n: np.zeros((HASHES, SLOTS), np.uint8) for n in GRAMS}
+        if len(self.languages) > 64:
+            raise ValueError("a word holds 64 languages")
+        self.kind = np.min_scalar_type((1 << max(1, len(self.languages))) - 1)  # a byte for eight languages
+        self.slots = {n: np.zeros((HASHES, SLOTS), self.kind) for n in GRAMS}
         for k, lang in enumerate(self.languages):
             lower, start, end, _ = word_table([x for own, x in samples if own == lang])
             for n, (h, _) in self.grams(self._unique(lower, start, end)).items():
                 for row, at in zip(self.slots[n], _places(h)):
-                    row[at] |= np.uint8(1 << k)
-        bits = np.arange(len(self.languages), dtype=np.uint8)
+                    row[at] |= self.kind.type(1 << k)
+        bits = np.arange(len(self.languages), dtype=self.kind)
         #: By length and language: the part of unknown n-grams that the filter takes for known ones.
         self.false = {n: np.prod([((row[:, None] >> bits) & 1).mean(axis=0) for row in rows], axis=0) for n, rows in self.slots.items()}
 
@@ -99,9 +100,9 @@ class Filters:
     def evidence(self, words: list[str]) -> np.ndarray:
         """By word and language: the weight of the n-grams that the language has, less what false positives alone would give."""
         out = np.zeros((len(words), len(self.languages)))
-        bits = np.arange(len(self.languages), dtype=np.uint8)
+        bits = np.arange(len(self.languages), dtype=self.kind)
         for n, (h, own) in self.grams(words).items():
-            mask = np.full(len(h), 0xFF, np.uint8)
+            mask = np.full(len(h), np.iinfo(self.kind).max, self.kind)
             for row, at in zip(self.slots[n], _places(h)):
                 mask &= row[at]
             total = np.bincount(own, minlength=len(words))[:, None]

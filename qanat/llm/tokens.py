@@ -96,7 +96,9 @@ class TokenCounter:
     def compatible(self, x: bytes, y: bytes) -> bool:
         ok = self.allowed.get((x, y))
         if ok is None:
-            ok = self.allowed[x, y] = self.merge(x + y) == [x, y]
+            ok = self.merge(x + y) == [x, y]
+            if len(self.allowed) < 2_000_000:  # memory, not results, as with known pieces
+                self.allowed[x, y] = ok
         return ok
 
     def count_piece(self, piece: bytes) -> int:

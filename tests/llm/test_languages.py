@@ -57,3 +57,13 @@ def test_held_out_accuracy(spark):
     _, lang, _ = langid.Judge(filters).lines([x for _, x in test])
     right = sum(filters.languages[k] == want for k, (want, _) in zip(lang, test))
     assert right / len(test) >= 0.97
+
+
+def test_more_languages_than_bits_of_a_byte():
+    import string
+
+    samples = [(f"l{k:02}", " ".join(2 * (a + b) for a in string.ascii_lowercase[k : k + 2] for b in "aeiou")) for k in range(0, 24, 2)]
+    filters = langid.Filters(samples)
+    assert len(filters.languages) == 12
+    for k, (lang, text) in enumerate(samples):
+        assert filters.evidence(text.split()).sum(axis=0).argmax() == k, lang
