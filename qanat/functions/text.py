@@ -1,29 +1,31 @@
-"""Text functions as Spark columns. Only ``nfkc`` and ``nfc`` leave the JVM."""
+"""Text functions as Spark columns; none leaves the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
 # White space as Python's str.strip knows it.
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility form; texts that have it already pass unchanged."""
-    return text.map(lambda x: x if x is None or x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
+ICU = "com.ibm.icu."
+
+
+def _composed(text: Column, compatible: bool) -> Column:
+    """ICU ships with the engine, so this stays in the JVM; ASCII text passes unchanged."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.reflect(F.lit(ICU + "text.Normalizer"), F.lit("compose"), text, F.lit(compatible))).otherwise(text)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form."""
+    return _composed(text, True)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed form; texts that have it already pass unchanged."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def nfc(text: Column) -> Column:
+    """Composed form."""
+    return _composed(text, False)
 
 
 def let(value: Column, use) -> Column:
@@ -32,12 +34,13 @@ def let(value: Column, use) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Case folding for text in NFKC, and ’ as '."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("’"), F.lit("'"))
+    """NFKC, full case folding, and ’ as '."""
+    form = nfkc(text)
+    return F.replace(F.when(form.rlike(r"[^\x00-\x7f]"), F.reflect(F.lit(ICU + "lang.UCharacter"), F.lit("foldCase"), form, F.lit(True))).otherwise(F.lower(form)), F.lit("’"), F.lit("'"))
 
 
 def tokens(text: Column) -> Column:
-    """Words of text in NFKC; null gives an empty array."""
+    """Words; null gives an empty array."""
     return F.coalesce(F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
@@ -59,8 +62,8 @@ def ngram_hashes(words: Column, n: int) -> Column:
 
 
 def stripped_lines(text: Column) -> Column:
-    """CRLF and CR as LF, no white space at line ends, none around the whole; case and marks stay."""
-    lf = F.regexp_replace(text, r"\r\n?", "\n")
+    """CRLF and CR as LF, NFC, no white space at line ends, none around the whole; case and marks stay."""
+    lf = F.regexp_replace(nfc(text), r"\r\n?", "\n")
     return F.regexp_replace(F.regexp_replace(lf, rf"(?m){BLANK}+$", ""), rf"^{BLANK}+|{BLANK}+$", "")
 
 

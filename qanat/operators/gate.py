@@ -10,7 +10,7 @@ from qanat.functions.text import let, ngram_hashes, ngrams, tokens
 
 
 def worded(texts: DataFrame) -> DataFrame:
-    """(id, w): the words of each text; a table that has them already stays as it is."""
+    """(id, w): the words of each text; a table that has them already stays as it is. References have theirs by the same rule."""
     return texts if "w" in texts.columns else spread(texts.select("id", "text")).select("id", tokens(F.col("text")).alias("w"))
 
 
@@ -20,31 +20,30 @@ def exact_duplicates(texts: DataFrame) -> DataFrame:
     return hashed.groupBy("text_sha256").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("copies > 1")
 
 
-def near_duplicates(texts: DataFrame, threshold: float = 0.82, n: int = 5, least_words: int = 10, cap: int = 100) -> DataFrame:
+def near_duplicates(texts: DataFrame, threshold: float = 0.82, n: int = 5, least_words: int = 10, cap: int | None = 100) -> DataFrame:
     """(left_id, right_id, similarity) with left_id < right_id, exact copies left out.
 
     Similarity is that of the reference gate: n-grams that more than ``cap`` ids hold don't count as shared but
-    stay in the sizes. The cap is part of the measure. N-grams travel as hashes with their text's id and size, and are counted
-    before any pair is made. A partner shares at least threshold * size of a text's n-grams, so texts with fewer shared
-    ones drop out, and partners meet in the rarest that are left over; only such pairs are counted in full.
+    stay in the sizes. The cap is part of that measure; without one (None) the similarity is the exact Jaccard index over all n-grams.
+    N-grams travel as hashes and are counted once. A partner shares at least threshold * size of a text's n-grams, so texts with fewer shared
+    ones drop out, and partners meet in the rarest that are left over; a hot n-gram is met only by texts that have hardly any other.
+    A text's n-grams stay together in one sorted array, which only candidates meet.
     """
     words = worded(texts).where(F.size("w") >= least_words)
     grams = let(ngram_hashes(F.col("w"), n), F.array_distinct)
     sets = words.select("id", F.xxhash64(F.array_join("w", " ")).alias("t"), grams.alias("g"))
     posts = sets.select("id", "t", F.size("g").alias("n"), F.explode("g").alias("g"))
-    useful = posts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c").between(2, cap))
-    posts = cut(posts.join(useful, "g"))
-    own = Window.partitionBy("id")  # the n-grams of one text
-    need = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9))
-    ranks = posts.withColumn("m", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("c", "g")))
-    first = ranks.where(F.col("r") <= F.col("m") - need + 1)
-    a = first.select("g", F.col("id").alias("left_id"), F.col("n").alias("ln"), F.col("t").alias("lt"))
-    b = first.select("g", F.col("id").alias("right_id"), F.col("n").alias("rn"), F.col("t").alias("rt"))
+    useful = posts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c").between(2, cap) if cap else F.col("c") >= 2)
+    own = posts.join(useful, "g").groupBy("id").agg(F.first("t").alias("t"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "g"))).alias("u"))  # one text's n-grams
+    own = own.withColumn("first", F.size("u") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1).where("first > 0")
+    own = cut(own)
+    first = own.select("id", "t", "n", F.explode(F.expr("slice(u.g, 1, first)")).alias("g"))
+    a, b = first.toDF("left_id", "lt", "ln", "g"), first.toDF("right_id", "rt", "rn", "g")
     size = F.expr(f"least(ln, rn) >= {threshold} * greatest(ln, rn) - 1e-9")  # smaller texts can't reach the threshold
     pairs = a.join(b, "g").where((F.col("left_id") < F.col("right_id")) & (F.col("lt") != F.col("rt")) & size).select("left_id", "right_id", "ln", "rn").distinct()
-    both = pairs.join(posts.select(F.col("id").alias("left_id"), "g"), "left_id").join(posts.select(F.col("id").alias("right_id"), "g"), ["right_id", "g"])
-    shared = both.groupBy("left_id", "right_id", "ln", "rn").agg(F.count("*").alias("s"))
-    return shared.withColumn("similarity", F.col("s") / (F.col("ln") + F.col("rn") - F.col("s"))).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
+    arrays = own.select("id", F.col("u.g").alias("g"))
+    both = pairs.join(arrays.toDF("left_id", "x"), "left_id").join(arrays.toDF("right_id", "y"), "right_id").withColumn("s", F.size(F.array_intersect("x", "y")))
+    return both.withColumn("similarity", F.col("s") / (F.col("ln") + F.col("rn") - F.col("s"))).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
 def openings(texts: DataFrame, n: int = 8, least: int = 3) -> DataFrame:
@@ -56,11 +55,23 @@ def openings(texts: DataFrame, n: int = 8, least: int = 3) -> DataFrame:
 def shared_spans(texts: DataFrame, n: int = 16) -> DataFrame:
     """(span, records, first_id, last_id): one n-word span, the smallest, for each set of at least two ids that share spans.
 
-    Sets of ids are told apart by their count, ends and the sum of their hashes, so that no set is gathered.
+    Sets of ids are told apart by their count, ends and the sum of their hashes, so that no set is gathered. Spans travel
+    as hashes; the words of those that are shared are fetched from the first id that has them.
     """
-    spans = worded(texts).select("id", F.explode(let(ngrams(F.col("w"), n), F.array_distinct)).alias("span"))
-    sets = spans.groupBy("span").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s")).where("records > 1")
-    return sets.groupBy("records", "first_id", "last_id", "s").agg(F.min("span").alias("span")).select("span", "records", "first_id", "last_id")
+    texts = cut(worded(texts))
+    posts = texts.select("id", F.explode(let(ngram_hashes(F.col("w"), n), F.array_distinct)).alias("g"))
+    sets = posts.groupBy("g").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s")).where("records > 1")
+    spelled = spell(texts, sets, n, "first_id")
+    return spelled.groupBy("records", "first_id", "last_id", "s").agg(F.min("span").alias("span")).select("span", "records", "first_id", "last_id")
+
+
+def spell(texts: DataFrame, spans: DataFrame, n: int, holder: str) -> DataFrame:
+    """``spans`` (g, the id in column ``holder``, ...) with the words of each as ``span``, taken from that id's words (id, w)."""
+    wanted = spans.groupBy(F.col(holder).alias("id")).agg(F.collect_set("g").alias("gs"))  # at most the n-grams of one text
+    at = F.filter(F.transform(ngram_hashes(F.col("w"), n), lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_contains("gs", x["g"]))
+    found = texts.join(wanted, "id").select(F.col("id").alias(holder), "w", F.explode(at).alias("_at"))
+    found = found.select(holder, F.col("_at.g").alias("g"), F.array_join(F.slice("w", F.col("_at.i") + 1, n), " ").alias("span")).groupBy(holder, "g").agg(F.min("span").alias("span"))
+    return spans.join(found, [holder, "g"])
 
 
 def longest_overlaps(texts: DataFrame, references: DataFrame, n: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qanat.functions import patterns
-from qanat.functions.text import excerpt, nfc, sentences, space_words, stripped_lines, tokens
+from qanat.functions.text import excerpt, sentences, space_words, stripped_lines, tokens
 from qanat.operators import gate
 from qanat.plans.registry import Tables, query, words_sql
 
@@ -21,7 +21,7 @@ def references(t: Tables):
     return turns.select("id", "p", F.explode(each).alias("e")).select(F.concat_ws("/", "id", F.lpad(F.col("p").cast("string"), 2, "0"), "e.f").alias("ref"), "e.text").where("text IS NOT NULL")
 
 
-W = words_sql("text")
+W = words_sql("text", form=True)
 DOCS = f"docs AS (SELECT doc_id AS id, text, coalesce({W}, []) AS w FROM documents)"
 REFS = f"""refs AS (SELECT ref, coalesce({W}, []) AS w FROM (
   SELECT id || '/' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') || '/' || f AS ref, CASE WHEN f = 'user' THEN turns[i].user ELSE turns[i].expected END AS text
@@ -57,6 +57,11 @@ def near_duplicates(t):
     return gate.near_duplicates(documents(t))
 
 
+@query(f"WITH {DOCS}, {NEAR.replace('BETWEEN 2 AND 100', '>= 2')} SELECT * FROM near")
+def near_duplicates_uncapped(t):
+    return gate.near_duplicates(documents(t), cap=None)
+
+
 @query(f"WITH {DOCS} SELECT array_to_string(w[1:8], ' ') AS opening, count(*) AS occurrences, count(DISTINCT id) AS records FROM docs WHERE len(w) >= 8 GROUP BY 1 HAVING count(DISTINCT id) >= 3")
 def repeated_openings(t):
     return gate.openings(documents(t))
@@ -90,7 +95,7 @@ def decontaminated_documents(t):
     return own.select("id").join(gate.contaminated(own, references(t), 8), "id", "left_anti")
 
 
-STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '(?m)[\s\p{{Z}}\x{{85}}]+$', '', 'g'), '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
+STRIP = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '\r\n?', chr(10), 'g'), '(?m)[\s\p{{Z}}\x{{85}}]+$', '', 'g'), '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
 
 
 @query(f"""WITH held AS (SELECT DISTINCT sha256({STRIP.format("content")}) AS h FROM (
@@ -98,22 +103,9 @@ STRIP = r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g
   said AS (SELECT DISTINCT row_id, i - 1 AS turn, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM release_rows))
   SELECT row_id, CAST(turn AS INTEGER) AS turn FROM said WHERE sha256({STRIP.format("content")}) IN (SELECT h FROM held)""")
 def heldout_exact_match(t):
-    held = references(t).select(F.sha2(stripped_lines(nfc(F.col("text"))), 256).alias("h")).distinct()
+    held = references(t).select(F.sha2(stripped_lines(F.col("text")), 256).alias("h")).distinct()
     said = t.release_rows.select("row_id", F.posexplode("messages").alias("turn", "m"))
-    return said.select("row_id", "turn", F.sha2(stripped_lines(nfc(F.col("m.content"))), 256).alias("h")).join(held, "h", "left_semi").select("row_id", "turn").distinct()
-
-
-BANK = " UNION ALL ".join(f"SELECT '{n}' AS code, '{s}' AS severity, '{c}' AS category, '(?i){p.replace(chr(39), chr(39) * 2)}' AS p" for n, s, c, p in patterns.ASSISTANT)
-
-
-@query(f"""WITH bank AS ({BANK}), said AS (SELECT DISTINCT row_id, i - 1 AS turn, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM release_rows) WHERE messages[i].role = 'assistant')
-  SELECT row_id, CAST(turn AS INTEGER) AS turn, code, severity, category FROM said, bank WHERE regexp_matches(content, p)
-  UNION ALL SELECT row_id, CAST(turn AS INTEGER), 'excessive_religious_decoration_signal', 'review', 'religious_boundary' FROM said WHERE len(regexp_extract_all(content, '(?i){patterns.DECORATION}')) >= 3""")
-def assistant_pattern_flags(t):
-    said = t.release_rows.select("row_id", F.posexplode("messages").alias("turn", "m")).where("m.role = 'assistant'").select("row_id", "turn", "m.content").distinct()
-    found = said.select("row_id", "turn", F.explode(patterns.flags(F.col("content"))).alias("f")).select("row_id", "turn", "f.code", "f.severity", "f.category")
-    many = said.where(F.regexp_count("content", F.lit(f"(?iu){patterns.DECORATION}")) >= 3).select("row_id", "turn", F.lit("excessive_religious_decoration_signal"), F.lit("review"), F.lit("religious_boundary"))
-    return found.union(many)
+    return said.select("row_id", "turn", F.sha2(stripped_lines(F.col("m.content")), 256).alias("h")).join(held, "h", "left_semi").select("row_id", "turn").distinct()
 
 
 @query(f"WITH {FLAGS} SELECT id, CASE WHEN bool_or(severity = 'block') THEN 'block' WHEN count(severity) > 0 THEN 'review' ELSE 'pass' END AS decision, count(severity) AS flags FROM docs LEFT JOIN flagged USING (id) GROUP BY id")

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qanat.functions.text import nfc, stripped_lines
+from qanat.functions.text import stripped_lines
 
 MANIFEST = "ids array<string>, content_hashes array<string>, sources array<struct<namespace:string, repo_relative_path:string, file_sha256:string, id_field:string, include_raw_string_ids:boolean, text_paths:array<string>>>"
 
@@ -77,7 +77,7 @@ def load(spark: SparkSession, manifest: str, root: str) -> tuple[DataFrame, Data
 
     found = sources.mapInArrow(read, "kind string, value string, detail string")
     ids = m.select(F.explode("ids").alias("id")).union(found.where("kind = 'id'").select("value")).distinct()
-    texts = found.where("kind = 'text'").select(stripped_lines(nfc(F.col("value"))).alias("t")).where("t <> ''").select(F.sha2("t", 256).alias("sha256"))
+    texts = found.where("kind = 'text'").select(stripped_lines(F.col("value")).alias("t")).where("t <> ''").select(F.sha2("t", 256).alias("sha256"))
     hashes = own.where(good).select(F.col("h").alias("sha256")).union(texts).distinct()
     issues = found.where("kind = 'issue'").select(F.col("value").alias("code"), "detail").union(own.where(~F.coalesce(good, F.lit(False))).select(F.lit("heldout_manifest_invalid_hash"), F.col("h")))
     return ids, hashes, issues
