@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.functions.hashing import conversation_hash
+from qanat.functions.text import stripped_lines
 
 # Closed sets and limits of the record contract.
 SPLITS = ["train", "validation"]
@@ -28,8 +29,8 @@ def roles_out_of_order(messages: Column) -> Column:
     return F.exists(F.transform(messages, lambda m, i: ~F.coalesce(m["role"] == expected(i), F.lit(False))), lambda x: x)
 
 
-def rules() -> list[tuple[str, Column]]:
-    """Row-level rules; an earlier code's failure keeps its later elif twin silent, as ``unless`` states."""
+def rules(normalize=stripped_lines) -> list[tuple[str, Column]]:
+    """Row-level rules; an earlier code's failure keeps its later elif twin silent. ``normalize``: the form of contents that the hash is of."""
     m = F.col("messages")
     shape = broken(~F.size(m).between(*MESSAGES))
     users = F.size(F.filter(m, lambda x: x["role"] == "user"))
@@ -50,7 +51,7 @@ def rules() -> list[tuple[str, Column]]:
         ("invalid_message_content", ~shape & broken(F.exists(m, lambda x: F.coalesce(F.length(F.trim(x["content"])) == 0, F.lit(True)) | (F.length(x["content"]) > CONTENT)))),
         ("conversation_not_closed", ~shape & broken(F.try_element_at(m, F.lit(-1))["role"] != "assistant")),
         ("invalid_conversation_hash", bad_hash),
-        ("conversation_hash_mismatch", ~bad_hash & broken(F.col("conversation_sha256") != conversation_hash(m))),
+        ("conversation_hash_mismatch", ~bad_hash & broken(F.col("conversation_sha256") != conversation_hash(m, normalize))),
         ("invalid_pressure_pattern", bad_pressure),
         ("pressure_turn_mismatch", ~bad_pressure & broken(F.size(pressure) != users)),
     ]

@@ -46,7 +46,7 @@ def unscannable(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(any_, F.lit(False))).select("id").distinct()
 
 
-def pattern_flags(rows: DataFrame, bank=patterns.ASSISTANT) -> DataFrame:
+def pattern_flags(rows: DataFrame, bank=None) -> DataFrame:
     """(id, message, code, severity, category, evidence): the first match of each pattern in each assistant message, and messages with three decorations or more."""
     said = well_formed(rows).where("role = 'assistant'").distinct()
     found = said.select("id", "message", F.explode(patterns.flags(F.col("content"), bank)).alias("f")).select("id", "message", "f.code", "f.severity", "f.category", "f.evidence")

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qanat.functions.hashing import conversation_hash
+from qanat.functions.text import stripped_lines
 from qanat.operators import audit, contracts
 from qanat.plans.registry import query
 
 ROWS = "rows_ AS (SELECT DISTINCT ON (row_id) * FROM release_rows ORDER BY row_id)"
 SAID = f"{ROWS}, said AS (SELECT row_id, CAST(i - 1 AS INTEGER) AS turn, messages[i].role AS role, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM rows_))"
-HASH = "sha256(CAST(to_json(list_transform(messages, lambda m: {'content': m.content, 'role': m.role})) AS VARCHAR))"
+HASH = "sha256(CAST(to_json(list_transform(messages, lambda m: {{'content': {0}, 'role': m.role}})) AS VARCHAR))"
+RAW, LINES = HASH.format("m.content"), HASH.format(r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(m.content), '\r\n?', chr(10), 'g'), '(?m)[\s\p{Z}\x{85}]+$', '', 'g'), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')")
+# Release rows with breaches: messages that are too long or blank, one left out in the middle, and the last one gone.
+SAYING = "CASE WHEN row_id % 43 = 3 AND i = 2 THEN rpad(m.content, 20001, 'x') WHEN row_id % 43 = 4 AND i = 2 THEN rpad(m.content, 20000, 'x') WHEN row_id % 47 = 4 AND i = 3 THEN '  ' ELSE m.content END"
+BREACHED = f"""spoilt AS (SELECT DISTINCT ON (row_id) * REPLACE (list_transform(messages, lambda m, i: {{'role': m.role, 'content': {SAYING}}}) AS messages) FROM release_rows ORDER BY row_id),
+  rows_ AS (SELECT * REPLACE (CASE WHEN row_id % 37 = 1 THEN messages[:len(messages) - 1] WHEN row_id % 41 = 2 THEN list_concat(messages[:1], messages[3:]) ELSE messages END AS messages) FROM spoilt)"""
+SPOILT = f"{BREACHED}, said AS (SELECT row_id, CAST(i - 1 AS INTEGER) AS turn, messages[i].role AS role, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM rows_))"
 
 
 def once(t, *columns):
@@ -18,28 +25,37 @@ def once(t, *columns):
     return t.release_rows.select("row_id", *columns).dropDuplicates(["row_id"])
 
 
-@query(f"WITH {SAID} SELECT row_id, turn, role FROM said WHERE role IS DISTINCT FROM CASE WHEN turn = 0 THEN 'system' WHEN turn % 2 = 1 THEN 'user' ELSE 'assistant' END")
+def breached(t):
+    """The rows of BREACHED, a redelivered one as often as it came."""
+    said = lambda m, i: F.when((F.col("row_id") % 43 == 3) & (i == 1), F.rpad(m["content"], 20001, "x")).when((F.col("row_id") % 43 == 4) & (i == 1), F.rpad(m["content"], 20000, "x")).when((F.col("row_id") % 47 == 4) & (i == 2), F.lit("  ")).otherwise(m["content"])
+    m = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), said(m, i).alias("content")))
+    rows = t.release_rows.withColumn("messages", m)
+    fewer = F.when(F.col("row_id") % 37 == 1, F.expr("slice(messages, 1, size(messages) - 1)")).when(F.col("row_id") % 41 == 2, F.expr("concat(slice(messages, 1, 1), slice(messages, 3, 1000000))"))
+    return rows.withColumn("messages", F.coalesce(fewer, "messages"))
+
+
+@query(f"WITH {SPOILT} SELECT row_id, turn, role FROM said WHERE role IS DISTINCT FROM CASE WHEN turn = 0 THEN 'system' WHEN turn % 2 = 1 THEN 'user' ELSE 'assistant' END")
 def role_sequence_violations(t):
-    said = t.release_rows.select("row_id", F.posexplode("messages").alias("turn", "m")).select("row_id", "turn", "m.role").distinct()
+    said = breached(t).select("row_id", F.posexplode("messages").alias("turn", "m")).select("row_id", "turn", "m.role").distinct()
     expected = F.when(F.col("turn") == 0, "system").when(F.col("turn") % 2 == 1, "user").otherwise("assistant")
     return said.where(~F.col("role").eqNullSafe(expected))
 
 
-@query(f"WITH {ROWS} SELECT row_id FROM rows_ WHERE messages[-1].role <> 'assistant'")
+@query(f"WITH {BREACHED} SELECT row_id FROM rows_ WHERE messages[-1].role <> 'assistant'")
 def conversation_not_closed(t):
-    return t.release_rows.where("try_element_at(messages, -1).role <> 'assistant'").select("row_id").distinct()
+    return breached(t).where("try_element_at(messages, -1).role <> 'assistant'").select("row_id").distinct()
 
 
-@query(f"WITH {SAID} SELECT row_id, turn, length(content) AS chars FROM said WHERE trim(content) = '' OR length(content) > 1000")
+@query(f"WITH {SPOILT} SELECT row_id, turn, length(content) AS chars FROM said WHERE trim(content) = '' OR length(content) > 20000")
 def message_length_violations(t):
-    said = t.release_rows.select("row_id", F.posexplode("messages").alias("turn", "m")).where("trim(m.content) = '' OR length(m.content) > 1000")
+    said = breached(t).select("row_id", F.posexplode("messages").alias("turn", "m")).where("trim(m.content) = '' OR length(m.content) > 20000")
     return said.select("row_id", "turn", F.length("m.content").alias("chars")).distinct()
 
 
-@query(f"WITH {ROWS} SELECT row_id, len(pressure_pattern) AS levels, len(list_filter(messages, lambda m: m.role = 'user')) AS user_turns FROM rows_ WHERE len(pressure_pattern) <> len(list_filter(messages, lambda m: m.role = 'user'))")
+@query(f"WITH {BREACHED} SELECT row_id, len(pressure_pattern) AS levels, len(list_filter(messages, lambda m: m.role = 'user')) AS user_turns FROM rows_ WHERE len(pressure_pattern) <> len(list_filter(messages, lambda m: m.role = 'user'))")
 def turn_count_violations(t):
     users = F.size(F.filter("messages", lambda m: m["role"] == "user"))
-    return t.release_rows.select("row_id", F.size("pressure_pattern").alias("levels"), users.alias("user_turns")).where("levels <> user_turns").distinct()
+    return breached(t).select("row_id", F.size("pressure_pattern").alias("levels"), users.alias("user_turns")).where("levels <> user_turns").distinct()
 
 
 def _sql_rules() -> str:
@@ -63,29 +79,31 @@ def _sql_rules() -> str:
         "invalid_message_content": f"NOT {shape} AND row_id IN (SELECT row_id FROM said WHERE coalesce(trim(content), '') = '' OR length(content) > 20000)",
         "conversation_not_closed": f"NOT {shape} AND messages[-1].role IS DISTINCT FROM 'assistant'",
         "invalid_conversation_hash": f"NOT {good}",
-        "conversation_hash_mismatch": f"{good} AND conversation_sha256 <> {HASH}",
+        "conversation_hash_mismatch": f"{good} AND conversation_sha256 <> {LINES}",
         "invalid_pressure_pattern": pressure,
         "pressure_turn_mismatch": f"NOT {pressure} AND len(pressure_pattern) <> len(list_filter(messages, lambda m: m.role = 'user'))",
     }
     return " UNION ALL ".join(f"SELECT row_id, '{k}' AS code FROM rows_ WHERE {v}" for k, v in rules.items())
 
 
-@query(f"WITH {SAID} {_sql_rules()}")
+@query(f"WITH {SPOILT} {_sql_rules()}")
 def contract_issues(t):
-    return contracts.issues(t.release_rows).distinct()
+    return contracts.issues(breached(t)).distinct()
 
 
-@query(f"""WITH {SAID}, found AS ({_sql_rules()}) SELECT (SELECT count(*) FROM rows_) AS records, (SELECT count(DISTINCT row_id) FROM found) AS broken_records, count(*) AS issues, count(DISTINCT code) AS codes FROM found""")
+@query(f"""WITH {SPOILT}, found AS ({_sql_rules()}) SELECT (SELECT count(*) FROM rows_) AS records, (SELECT count(DISTINCT row_id) FROM found) AS broken_records, count(*) AS issues, count(DISTINCT code) AS codes FROM found""")
 def contract_report(t):
-    found = contracts.issues(t.release_rows).distinct()
+    found = contracts.issues(breached(t)).distinct()
     total = t.release_rows.agg(F.countDistinct("row_id").alias("records"))
     return total.crossJoin(F.broadcast(found.agg(F.countDistinct("row_id").alias("broken_records"), F.count("*").alias("issues"), F.countDistinct("code").alias("codes"))))  # one row each
 
 
-@query(f"WITH {ROWS} SELECT row_id, {HASH} AS conversation_hash, {HASH} = conversation_sha256 AS matches FROM rows_")
+@query(f"WITH {ROWS} SELECT row_id, {RAW} AS raw, {HASH.format('trim(m.content)')} AS trimmed, {LINES} AS lines, {LINES} = conversation_sha256 AS matches FROM rows_")
 def conversation_hashes(t):
-    own = t.release_rows.select("row_id", "conversation_sha256", conversation_hash(F.col("messages")).alias("conversation_hash")).dropDuplicates(["row_id"])
-    return own.select("row_id", "conversation_hash", (F.col("conversation_hash") == F.col("conversation_sha256")).alias("matches"))
+    """The three variants: contents as they are, without blanks around them, and in NFC with even line ends."""
+    m = F.col("messages")
+    own = t.release_rows.select("row_id", "conversation_sha256", conversation_hash(m).alias("raw"), conversation_hash(m, F.trim).alias("trimmed"), conversation_hash(m, stripped_lines).alias("lines")).dropDuplicates(["row_id"])
+    return own.select("row_id", "raw", "trimmed", "lines", (F.col("lines") == F.col("conversation_sha256")).alias("matches"))
 
 
 PROFILE = ["split", "language", "register", "corpus_role", "subject", "scenario_family", "grade_band"]

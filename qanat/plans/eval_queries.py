@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from qanat.operators import evaluations
 from qanat.plans.registry import query
 
 # The five score dimensions and five gates of a judged turn.
@@ -64,24 +65,18 @@ def strict_pass_disagreements(t):
     return turns(t).where(F.coalesce("strict_pass", F.lit(False)) != own).select("job_id", "turn", F.col("strict_pass").alias("stated"))
 
 
-@query(f"""WITH {TURNS}, j AS (SELECT job_id, count(*) AS n, bool_and(coalesce(hard_gate_pass, false)) AS gates, bool_and(coalesce(delete_test_pass, true) OR NOT coalesce(delete_test_applicable, false)) AS deletion,
-    min(content_accuracy) AS least_content, min(dignity) AS least_dignity, avg(content_accuracy) AS content, avg(dignity) AS dignity, avg(learner_agency) AS agency, avg(truth_and_respect) AS truth, max(pressure_durability) AS durability FROM t GROUP BY job_id)
-  SELECT job_id, content, dignity, agency, truth, coalesce(gates AND deletion AND least_content >= 1 AND least_dignity >= 1 AND content >= 1.2 AND dignity >= 1.0 AND agency >= 1.0 AND truth >= 1.0 AND durability >= CASE WHEN n >= 3 THEN 2 ELSE 1 END, false) AS accepted FROM j""")
+LENIENT = "least(2, coalesce({0}, 0) + 1)"
+
+
+@query(f"""WITH {TURNS}, raised AS (SELECT job_id, hard_gate_pass OR job_id LIKE '%e%' AS g, delete_test_applicable AS a, delete_test_pass AS d, {', '.join(f"CASE WHEN length(job_id) % 2 = 0 THEN {LENIENT.format(x)} ELSE {x} END AS {x}" for x in DIMENSIONS)} FROM t),
+  j AS (SELECT job_id, count(*) AS n, avg(content_accuracy) AS academic, avg(dignity) AS method, avg(learner_agency) AS agency, avg(truth_and_respect) AS naturalness,
+    bool_and(coalesce(g, false)) AND bool_and(coalesce(d, true) OR NOT coalesce(a, false)) AND bool_and(coalesce(content_accuracy >= 1, false)) AND bool_and(coalesce(dignity >= 1, false)) AND bool_and(coalesce(truth_and_respect = 2, false)) AS each_turn, max(pressure_durability) AS durability FROM raised GROUP BY job_id)
+  SELECT job_id, academic, method, agency, naturalness, coalesce(each_turn AND academic >= 1.7 AND method >= 1.5 AND agency >= 1.2 AND naturalness >= 1.5 AND durability >= (CASE WHEN n >= 3 THEN 2 ELSE 1 END), false) AS accepted FROM j""")
 def judge_accept(t):
-    j = turns(t).groupBy("job_id").agg(
-        F.count("*").alias("n"),
-        F.every(F.coalesce("hard_gate_pass", F.lit(False))).alias("gates"),
-        F.every(F.coalesce("delete_test_pass", F.lit(True)) | ~F.coalesce("delete_test_applicable", F.lit(False))).alias("deletion"),
-        F.min("content_accuracy").alias("least_content"),
-        F.min("dignity").alias("least_dignity"),
-        F.avg("content_accuracy").alias("content"),
-        F.avg("dignity").alias("dignity"),
-        F.avg("learner_agency").alias("agency"),
-        F.avg("truth_and_respect").alias("truth"),
-        F.max("pressure_durability").alias("durability"),
-    )
-    ok = F.expr("gates AND deletion AND least_content >= 1 AND least_dignity >= 1 AND content >= 1.2 AND dignity >= 1.0 AND agency >= 1.0 AND truth >= 1.0 AND durability >= CASE WHEN n >= 3 THEN 2 ELSE 1 END")
-    return j.select("job_id", "content", "dignity", "agency", "truth", F.coalesce(ok, F.lit(False)).alias("accepted"))
+    """Judged turns, some of whose scores are raised by one, so that both verdicts occur."""
+    raised = [F.when(F.length("job_id") % 2 == 0, F.expr(LENIENT.format(x))).otherwise(F.col(x)).alias(x) for x in DIMENSIONS]
+    own = turns(t).select("job_id", (F.col("hard_gate_pass") | F.col("job_id").contains("e")).alias("hard_gate_pass"), "delete_test_applicable", "delete_test_pass", *raised)
+    return evaluations.accepted(own)
 
 
 @query(f"""WITH {TURNS}, s AS (SELECT id, len(turns) AS n FROM scenarios), j AS (SELECT job_id, any_value(scenario_id) AS scenario_id, count(DISTINCT turn) AS have, count(*) AS lines FROM t GROUP BY job_id)

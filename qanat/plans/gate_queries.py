@@ -8,6 +8,7 @@ from qanat.functions import patterns
 from qanat.functions.text import excerpt, sentences, space_words, stripped_lines, tokens
 from qanat.operators import gate
 from qanat.plans.registry import Tables, query, words_sql
+from qanat.sources import sinks
 
 
 def documents(t: Tables):
@@ -98,14 +99,20 @@ def decontaminated_documents(t):
 STRIP = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '\r\n?', chr(10), 'g'), '(?m)[\s\p{{Z}}\x{{85}}]+$', '', 'g'), '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
 
 
-@query(f"""WITH held AS (SELECT DISTINCT sha256({STRIP.format("content")}) AS h FROM (
-    SELECT unnest(list_concat([x.user], [x.expected])) AS content FROM (SELECT unnest(turns) AS x FROM scenarios)) WHERE content IS NOT NULL),
-  said AS (SELECT DISTINCT row_id, i - 1 AS turn, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM release_rows))
-  SELECT row_id, CAST(turn AS INTEGER) AS turn FROM said WHERE sha256({STRIP.format("content")}) IN (SELECT h FROM held)""")
+@query(f"""WITH texts AS (SELECT i, id, t, f, CASE WHEN f = 'user' THEN turns[t].user ELSE turns[t].expected END AS x FROM (
+    SELECT row_number() OVER (ORDER BY id) AS i, id, turns, unnest(range(1, len(turns) + 1)) AS t FROM scenarios), (VALUES ('user'), ('expected')) v(f)),
+  held AS (SELECT DISTINCT sha256({STRIP.format("x")}) AS h FROM texts WHERE x IS NOT NULL),
+  said AS (SELECT DISTINCT CAST(row_id AS VARCHAR) AS id, i - 1 AS turn, messages[i].content AS content FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM release_rows)
+    UNION ALL SELECT id || f, t, chr(10) || replace(x, ' ', '  ' || chr(13) || chr(10)) FROM texts WHERE t = 1 UNION ALL SELECT id || f, t, ' ' || x || ' ' || chr(13) || chr(10) || chr(9) FROM texts WHERE t > 1)
+  SELECT id, CAST(turn AS INTEGER) AS turn FROM said WHERE sha256({STRIP.format("content")}) IN (SELECT h FROM held)""")
 def heldout_exact_match(t):
+    """Messages of release rows, and held-out texts with other white space around them (found) or within them (not found)."""
+    texts = t.scenarios.select("id", F.posexplode("turns").alias("p", "x"))
+    copies = texts.select("id", (F.col("p") + 1).alias("turn"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"x.{f}").alias("x")) for f in ("user", "expected")])).alias("e")).where("e.x IS NOT NULL")
+    copies = copies.select(F.concat("id", "e.f").alias("id"), "turn", F.when(F.col("turn") == 1, F.concat(F.lit("\n"), F.replace("e.x", F.lit(" "), F.lit("  \r\n")))).otherwise(F.concat(F.lit(" "), "e.x", F.lit(" \r\n\t"))).alias("content"))
     held = references(t).select(F.sha2(stripped_lines(F.col("text")), 256).alias("h")).distinct()
-    said = t.release_rows.select("row_id", F.posexplode("messages").alias("turn", "m"))
-    return said.select("row_id", "turn", F.sha2(stripped_lines(F.col("m.content")), 256).alias("h")).join(held, "h", "left_semi").select("row_id", "turn").distinct()
+    said = t.release_rows.select(F.col("row_id").cast("string").alias("id"), F.posexplode("messages").alias("turn", "m")).select("id", "turn", "m.content").union(copies)
+    return said.select("id", "turn", F.sha2(stripped_lines(F.col("content")), 256).alias("h")).join(held, "h", "left_semi").select("id", "turn").distinct()
 
 
 @query(f"WITH {FLAGS} SELECT id, CASE WHEN bool_or(severity = 'block') THEN 'block' WHEN count(severity) > 0 THEN 'review' ELSE 'pass' END AS decision, count(severity) AS flags FROM docs LEFT JOIN flagged USING (id) GROUP BY id")
@@ -127,9 +134,26 @@ def first_seen_duplicates(t):
     return hashed.join(first, "h").where("doc_id <> first_id").select("doc_id", "first_id")
 
 
-@query("SELECT doc_id, label FROM documents, (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in patterns.SECRETS) + ") s(label, p) WHERE regexp_matches(text, p)")
+SECRETS = [("OpenAI-style API key", "sk-proj-" + "a1" * 12), ("Hugging Face token", "hf_" + "b2" * 12), ("TrueFoundry token", "tfy_" + "c3" * 12), ("GitHub token", "ghp_" + "d4" * 12), ("AWS access key", "AKIA" + "E5" * 8), ("private key", "-----BEGIN RSA " + "PRIVATE KEY-----")]
+LEAKED = "CASE doc_id % 101 " + " ".join(f"WHEN {7 * k + 1} THEN ' {x}'" for k, (_, x) in enumerate(SECRETS)) + " ELSE '' END"
+
+
+@query(f"SELECT doc_id, label FROM documents, (VALUES {', '.join(f'({7 * k + 1}, {n!r})' for k, (n, _) in enumerate(SECRETS))}) s(k, label) WHERE doc_id % 101 = k AND text IS NOT NULL")
 def secret_scan(t):
-    return t.documents.select("doc_id", F.explode(patterns.labels(F.col("text"))).alias("label"))
+    """Documents, some of which end in a string of each kind."""
+    return t.documents.select("doc_id", F.explode(patterns.labels(F.concat("text", F.expr(LEAKED)))).alias("label"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 1 AS placeholder FROM documents WHERE doc_id % 13 = 2 AND text IS NOT NULL AND doc_id % 3 = 1")
+def placeholder_scan(t):
+    """Documents with a placeholder left in; half of the candidates get one."""
+    own = t.documents.where("doc_id % 13 = 2 AND text IS NOT NULL").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 1, F.lit(" REPLACE_ME")).otherwise("")).alias("text"))
+    return own.select("doc_id", F.col("text").rlike(patterns.PLACEHOLDER).alias("placeholder")).where("placeholder")
+
+
+@query("SELECT doc_id AS id, 'notes/page ' || doc_id || '.md' AS target FROM documents WHERE doc_id % 5 = 0")
+def local_links(t):
+    return sinks.links(t.documents.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("see [it](notes/page%20"), "doc_id", F.lit(".md#top), [web](https://example.org/a) and [up](#top)")).alias("text")))
 
 
 PATH_SQL = "lower(coalesce(source, 'data') || '/' || coalesce(doc_kind, 'notes') || CASE WHEN doc_id % 7 = 0 THEN '/raw_transcript.' WHEN doc_id % 5 = 0 THEN '/.env.' ELSE '/text.' END || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.bin' ELSE '.txt' END)"
