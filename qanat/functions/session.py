@@ -22,10 +22,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, with its lineage cut; it outlives any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, remove: str | None = None) -> DataFrame:
+    """``df`` written to the checkpoint folder, with its lineage cut; it outlives any executor. ``remove``: a folder that isn't needed afterwards."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if remove:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(remove)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ def rules(normalize=stripped_lines) -> list[tuple[str, Column]]:
     pressure = F.col("pressure_pattern")
     bad_pressure = broken(~F.size(pressure).between(*PRESSURES) | F.exists(pressure, lambda x: ~x.between(0, 5)))
     bad_tags = F.col("tags").isNotNull() & ((F.size("tags") > TAGS) | F.exists("tags", lambda x: ~F.coalesce(x.rlike(TAG), F.lit(False))))
+    bad_content = broken(F.exists(m, lambda x: F.coalesce(F.length(F.trim(x["content"])) == 0, F.lit(True)) | (F.length(x["content"]) > CONTENT)))
+    well = ~shape & ~bad_content  # only then a hash is asked for
     bad_hash = broken(~F.col("conversation_sha256").rlike(SHA256))
     out = [
         ("invalid_split", broken(~F.col("split").isin(SPLITS))),
@@ -48,10 +50,10 @@ def rules(normalize=stripped_lines) -> list[tuple[str, Column]]:
         ("duplicate_tags", ~bad_tags & F.coalesce(F.size(F.array_distinct("tags")) < F.size("tags"), F.lit(False))),
         ("invalid_messages", shape),
         ("invalid_role_sequence", ~shape & broken(roles_out_of_order(m))),
-        ("invalid_message_content", ~shape & broken(F.exists(m, lambda x: F.coalesce(F.length(F.trim(x["content"])) == 0, F.lit(True)) | (F.length(x["content"]) > CONTENT)))),
+        ("invalid_message_content", ~shape & bad_content),
         ("conversation_not_closed", ~shape & broken(F.try_element_at(m, F.lit(-1))["role"] != "assistant")),
-        ("invalid_conversation_hash", bad_hash),
-        ("conversation_hash_mismatch", ~bad_hash & broken(F.col("conversation_sha256") != conversation_hash(m, normalize))),
+        ("invalid_conversation_hash", well & bad_hash),
+        ("conversation_hash_mismatch", well & ~bad_hash & broken(F.col("conversation_sha256") != conversation_hash(m, normalize))),
         ("invalid_pressure_pattern", bad_pressure),
         ("pressure_turn_mismatch", ~bad_pressure & broken(F.size(pressure) != users)),
     ]

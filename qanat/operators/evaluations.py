@@ -54,7 +54,7 @@ def saved_output_issues(outputs: DataFrame, scenarios: DataFrame) -> DataFrame:
         "job_id_mismatch": F.col("job_id") != F.concat_ws("::", "scenario_id", "condition"),
         "turn_count": F.col("spec").isNotNull() & ~F.coalesce(same, F.lit(False)),
         "turn_numbering": spoken & numbered,
-        "user_text_differs": spoken & wrong(lambda p: p["turns"]["user"].eqNullSafe(p["spec"]["user"])),
+        "user_text_differs": spoken & wrong(lambda p: p["t"]["user"].eqNullSafe(p["s"]["user"])),
         "empty_answer": F.exists("turns", lambda x: blank(x["answer"])),
         "sampled": ~F.col("do_sample").eqNullSafe(F.lit(False)),
         "missing_revision": blank(F.col("revision")),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qanat.plans import contract_queries, conversation_queries, dialogue_queries, eval_queries, gate_queries, plan_queries, stream_queries  # noqa: F401
+from qanat.plans import contract_queries, conversation_queries, dialogue_queries, eval_queries, gate_queries, plan_queries, release_queries, stream_queries  # noqa: F401
 from qanat.plans.registry import ORACLES, QUERIES
 
 

@@ -65,6 +65,7 @@ def _sql_rules() -> str:
     shape = "(messages IS NULL OR len(messages) NOT BETWEEN 3 AND 41)"
     pressure = "(pressure_pattern IS NULL OR len(pressure_pattern) NOT BETWEEN 1 AND 20 OR len(list_filter(pressure_pattern, lambda x: x NOT BETWEEN 0 AND 5)) > 0)"
     tags = f"(tags IS NOT NULL AND (len(tags) > 30 OR len(list_filter(tags, lambda x: NOT coalesce(regexp_full_match(x, '{contracts.TAG}'), false))) > 0))"
+    well = f"(NOT {shape} AND row_id NOT IN (SELECT row_id FROM said WHERE coalesce(trim(content), '') = '' OR length(content) > 20000))"
     good = "coalesce(regexp_full_match(conversation_sha256, '[a-f0-9]{64}'), false)"
     rules = {
         "invalid_split": enum("split", contracts.SPLITS),
@@ -78,8 +79,8 @@ def _sql_rules() -> str:
         "invalid_role_sequence": f"NOT {shape} AND row_id IN (SELECT row_id FROM said WHERE role IS DISTINCT FROM CASE WHEN turn = 0 THEN 'system' WHEN turn % 2 = 1 THEN 'user' ELSE 'assistant' END)",
         "invalid_message_content": f"NOT {shape} AND row_id IN (SELECT row_id FROM said WHERE coalesce(trim(content), '') = '' OR length(content) > 20000)",
         "conversation_not_closed": f"NOT {shape} AND messages[-1].role IS DISTINCT FROM 'assistant'",
-        "invalid_conversation_hash": f"NOT {good}",
-        "conversation_hash_mismatch": f"{good} AND conversation_sha256 <> {LINES}",
+        "invalid_conversation_hash": f"{well} AND NOT {good}",
+        "conversation_hash_mismatch": f"{well} AND {good} AND conversation_sha256 <> {LINES}",
         "invalid_pressure_pattern": pressure,
         "pressure_turn_mismatch": f"NOT {pressure} AND len(pressure_pattern) <> len(list_filter(messages, lambda m: m.role = 'user'))",
     }

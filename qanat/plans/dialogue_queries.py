@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qanat.operators import contracts, dialogue
-from qanat.plans.contract_queries import ROWS
+from qanat.plans.contract_queries import BREACHED, breached
 from qanat.plans.registry import query
 
 
@@ -22,6 +22,8 @@ def _rules() -> str:
     tutor = "list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: m.content)"
     text = f"array_to_string({tutor}, chr(10))"
     rules = {
+        "message_count": "len(messages) < 3 OR len(messages) % 2 = 0",
+        "role_order": "len(list_filter(messages, lambda m, i: m.role <> CASE WHEN i = 1 THEN 'system' WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END)) > 0",
         "formulaic_first_opening": f"coalesce(regexp_matches(({tutor})[1], {_q(dialogue.FORMULAIC_OPENING)}), false)",
         "formulaic_final_opening": f"coalesce(regexp_matches(({tutor})[-1], {_q(dialogue.FORMULAIC_OPENING)}), false)",
         "assistant_turn_too_long": long.format("assistant", dialogue.ASSISTANT_WORDS),
@@ -36,9 +38,9 @@ def _rules() -> str:
     return " UNION ALL ".join(f"SELECT row_id, '{k}' AS code FROM rows_ WHERE {v}" for k, v in rules.items())
 
 
-@query(f"WITH {ROWS} {_rules()}")
+@query(f"WITH {BREACHED} {_rules()}")
 def writer_preflight(t):
-    return contracts.issues(t.release_rows, "row_id", dialogue.writer_rules()).distinct()
+    return contracts.issues(breached(t), "row_id", dialogue.writer_rules()).distinct()
 
 
 @query(f"""WITH cut AS (SELECT doc_id AS id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30) || '|\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),

@@ -106,3 +106,63 @@ def job_order(t):
     conditions = t.turn_results.where("condition IS NOT NULL").select("condition").distinct()
     jobs = conditions.crossJoin(F.broadcast(t.scenarios.select("id"))).select(F.concat_ws("::", "id", "condition").alias("job_id"))
     return plangen.job_order(jobs, "jobs")
+
+
+PHASES = [f"phase {k}" for k in range(10)]
+MOVES = ["invite_self_check", "other", "model_respectful_evidence_question", "reanchor_to_learning_goal_and_register"]
+
+
+def generated(t):
+    """Plans of all subjects and held-out families in one length, two registers and two seeds; the tables are small dimensions."""
+    subject = t.documents.where("subject IS NOT NULL").select("subject").distinct()
+    tasks = F.array(*[F.struct(F.concat("subject", F.lit(f"-{k}")).alias("id"), F.lit("o").alias("objective"), F.lit("m").alias("misconception")) for k in (1, 2, 3)])
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    code = lambda c: F.substring(F.sha2(c, 256), 1, 4)
+    families = t.scenarios.where("family IS NOT NULL").select("family").distinct()
+    families = families.select("family", code("family").alias("code"), lit([f"s{k}" for k in range(10)]).alias("student_moves"), lit((MOVES * 3)[:10]).alias("tutor_moves"), lit(["none", "drift_probe"] * 5).alias("pressure_kinds"))
+    lengths = t._spark.createDataFrame([("short", "sh", 4, [0, 1, 2, 3], [[0, 2, 1, 1], [1, 0, 3, 2]])], plangen.LENGTHS)
+    registers = t._spark.createDataFrame([("institutional_light", "li"), ("family_rich", "ri")], plangen.REGISTERS)
+    return plangen.plans(subject.select("subject", code("subject").alias("code"), tasks.alias("tasks")), families, lengths, registers, t._spark.range(7, 9).toDF("seed"), "2.1", PHASES)
+
+
+GRID = f"""grid AS (SELECT s.subject || ':' || f.family || ':short' AS twin_key, seed, register, s.subject FROM (SELECT DISTINCT subject FROM documents WHERE subject IS NOT NULL) s, (SELECT DISTINCT family FROM scenarios WHERE family IS NOT NULL) f,
+    (VALUES ('institutional_light'), ('family_rich')) r(register), (VALUES (7), (8)) v(seed)),
+  tasked AS (SELECT *, [subject || '-1', subject || '-2', subject || '-3'][CAST(CAST(('0x' || sha256(seed || ':task:' || twin_key)[1:16]) AS UBIGINT) % 3 + 1 AS INTEGER)] AS task_id FROM grid)"""
+
+
+@query(f"""WITH {GRID} SELECT twin_key, CAST(seed AS BIGINT) AS seed, register, task_id, ['0,2,1,1', '1,0,3,2'][CAST(CAST(('0x' || sha256(seed || ':pressure:' || twin_key || ':' || task_id)[1:16]) AS UBIGINT) % 2 + 1 AS INTEGER)] AS levels, true AS non_monotonic FROM tasked""")
+def generated_plans(t):
+    return generated(t).select("twin_key", "seed", "register", F.col("task.id").alias("task_id"), F.array_join("levels", ",").alias("levels"), "non_monotonic")
+
+
+@query(f"""WITH {GRID} SELECT v.number, v.field, v.before, v.after, n AS plans FROM (SELECT count(*) AS n FROM tasked), (VALUES
+    (1, 'drift', 'anchored', 'anchored'), (2, 'drift', 'anchored', 'probe_detected'), (3, 'drift', 'probe_detected', 'probe_detected'), (4, 'drift', 'probe_detected', 'reanchored'),
+    (1, 'misconception', 'unassessed', 'learner_verification_pending'), (2, 'misconception', 'learner_verification_pending', 'learner_verification_pending'),
+    (3, 'misconception', 'learner_verification_pending', 'learner_verification_pending'), (4, 'misconception', 'learner_verification_pending', 'learner_verification_pending'),
+    (1, 'authority', 'respect_with_evidence', 'respect_with_evidence'), (2, 'authority', 'respect_with_evidence', 'respect_with_evidence'), (3, 'authority', 'respect_with_evidence', 'respect_and_truth_seeking_balanced'),
+    (4, 'authority', 'respect_and_truth_seeking_balanced', 'respect_and_truth_seeking_balanced')) v(number, field, before, after)""")
+def plan_states(t):
+    """The state around each round, told as how many plans have it."""
+    own = plangen.with_states(generated(t)).where("field IN ('drift', 'misconception', 'authority')")
+    return own.groupBy("number", "field", "before", "after").agg(F.count("*").alias("plans"))
+
+
+@query("""WITH f AS (SELECT DISTINCT family FROM scenarios WHERE family IS NOT NULL), s AS (SELECT DISTINCT subject FROM documents WHERE subject IS NOT NULL), held AS (SELECT DISTINCT family FROM scenarios WHERE id LIKE '%0')
+  SELECT family, 4 * (SELECT count(*) FROM s) AS plans FROM f WHERE family NOT IN (SELECT family FROM held)""")
+def unreserved_plans(t):
+    """Plans whose family no reserved scenario has."""
+    reserved = t.scenarios.where("id LIKE '%0'").select("id", "family")
+    return plangen.free_of(generated(t), reserved).groupBy("family").agg(F.count("*").alias("plans"))
+
+
+@query("""SELECT code, name FROM (SELECT DISTINCT subject AS name, unnest(['duplicate_task_ids']) AS code FROM documents WHERE subject LIKE '%e%') UNION ALL SELECT 'pressure_monotonic', 'short' UNION ALL SELECT 'pressure_length_mismatch', 'short' UNION ALL SELECT 'unknown_tutor_moves', family FROM (SELECT DISTINCT family FROM scenarios WHERE family LIKE '%a%')""")
+def grammar_issues(t):
+    """A grammar with doubled tasks, unknown moves and a steady pressure."""
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    task = lambda k: F.struct(k.alias("id"), F.lit("o").alias("objective"), F.lit("m").alias("misconception"))
+    subjects = t.documents.where("subject IS NOT NULL").select("subject").distinct()
+    subjects = subjects.select("subject", F.lit("c").alias("code"), F.array(task(F.lit("a")), task(F.when(F.col("subject").contains("e"), "a").otherwise("b"))).alias("tasks"))
+    moves = F.transform(lit((MOVES * 3)[:10]), lambda m: F.when(F.col("family").contains("a"), F.concat(m, F.lit("?"))).otherwise(m))
+    families = t.scenarios.where("family IS NOT NULL").select("family").distinct().select("family", F.lit("c").alias("code"), lit([f"s{k}" for k in range(10)]).alias("student_moves"), moves.alias("tutor_moves"), lit(["none"] * 10).alias("pressure_kinds"))
+    lengths = t._spark.createDataFrame([("short", "sh", 4, [0, 1, 2, 3], [[0, 2, 1, 1], [1, 1, 1]])], plangen.LENGTHS)
+    return plangen.grammar_issues(subjects, families, lengths, PHASES, MOVES)

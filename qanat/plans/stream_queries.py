@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from qanat.functions.session import checkpoint_dir, cut
 from qanat.operators.audit import latest
 from qanat.plans.registry import query
 from qanat.streaming import ledger
@@ -23,9 +24,9 @@ def writer_funnel(t):
     return own.groupBy(F.coalesce("writer_model", F.lit("None")).alias("writer_model")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "candidate").alias("candidates"), F.count_if(F.col("event_type") == "rejected").alias("rejected"), F.max("attempt").alias("most_attempts"), F.countDistinct("rejection").alias("reasons"))
 
 
-@query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+@query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY 1, 2")
 def event_tumbling(t):
-    return ledger.tumbling(t.events, "ts", "1 hour", ["event_type"]).select("window_start", "event_type", "events")
+    return ledger.tumbling(t.events, "ts", "1 hour", ["event_type"])
 
 
 @query("""SELECT CAST(time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS TIMESTAMP) AS window_start, count(*) AS events FROM events, (VALUES (0), (1)) v(i) GROUP BY 1""")
@@ -42,19 +43,21 @@ def event_sessions(t):
 
 @query("SELECT event_id, work_id, event_type FROM writer_log GROUP BY ALL")
 def stream_dedup(t):
-    """The ledger read as a stream, each event once, into a table of the checkpoint folder."""
+    """The ledger read as a stream, each event once, into a table of the checkpoint folder, which goes when the session ends its application."""
     spark = t._spark
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    out = f"{base.rstrip('/')}/stream_dedup_{spark.sparkContext.applicationId}_{abs(hash(t._folder))}_{spark.sql('SELECT uuid()').collect()[0][0]}"
-    table = t.writer_log
-    path = f"{t._folder}/writer_log.parquet"
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else t._folder.rstrip("/") + "/writer_log.parque[t]")
+    out = f"{checkpoint_dir(spark).rstrip('/')}/stream_dedup_{spark.sparkContext.applicationId}_{uuid.uuid4().hex}"
+    stream = ledger.files(spark, f"{t._folder}/writer_log.parquet", t.writer_log.schema)
     done = ledger.once(stream, "event_id", "event_at", "400 days").select("event_id", "work_id", "event_type")
-    done.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(done.schema).parquet(f"{out}/table")
+    ledger.drain(done, f"{out}/table", f"{out}/state")
+    return cut(spark.read.schema(done.schema).parquet(f"{out}/table"), remove=out)
 
 
-def _is_folder(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+@query("SELECT work_id, CAST(count(*) AS BIGINT) AS events, max(attempt) AS attempts FROM (SELECT DISTINCT event_id, work_id, attempt FROM writer_log WHERE work_id IS NOT NULL) GROUP BY 1")
+def stream_counts(t):
+    """Events by work, counted in micro-batches that come in any order and laid out in order at the end."""
+    spark = t._spark
+    out = f"{checkpoint_dir(spark).rstrip('/')}/stream_counts_{spark.sparkContext.applicationId}_{uuid.uuid4().hex}"
+    stream = ledger.files(spark, f"{t._folder}/writer_log.parquet", t.writer_log.schema).where("work_id IS NOT NULL")
+    ledger.drain(ledger.once(stream, "event_id", "event_at", "400 days").select("event_id", "work_id", "attempt"), f"{out}/table", f"{out}/state")
+    own = spark.read.schema("event_id bigint, work_id string, attempt int").parquet(f"{out}/table")
+    return cut(own.groupBy("work_id").agg(F.count("*").alias("events"), F.max("attempt").alias("attempts")).orderBy("work_id"), remove=out)

@@ -24,8 +24,18 @@ def extract(value, path: str) -> list:
     return found
 
 
-def existing(paths: list[str]) -> list[str]:
-    return [p for p in paths if os.path.exists(p)]
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that exist, on whatever file system they name."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in paths}
+    return [p for p in paths if at[p].getFileSystem(conf).exists(at[p])]
+
+
+def references(spark: SparkSession, manifest: str, root: str) -> list[str]:
+    """The source files that a manifest names and that exist."""
+    m = spark.read.option("multiLine", True).schema(MANIFEST).json(manifest)
+    named = m.select(F.explode("sources.repo_relative_path").alias("p")).where("trim(p) <> ''").distinct().collect()  # the sources of one manifest
+    return existing(spark, sorted(f"{root.rstrip('/')}/{r.p}" for r in named))
 
 
 def load(spark: SparkSession, manifest: str, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a report at most.
+REPORT = 10_000
+
+
 def csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; no rows write nothing; an existing path is refused."""
+    if df.isEmpty():
+        return
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
@@ -15,6 +22,20 @@ def routed(df: DataFrame, path: str, by: list[str], mode: str = "errorifexists")
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def report(df: DataFrame, path: str) -> None:
+    """A report of a few rows as one canonical JSON document: keys sorted, two blanks of indent, other scripts as they are; refuses an existing path."""
+    import json
+
+    spark = df.sparkSession
+    rows = [json.loads(r) for r in df.toJSON().take(REPORT + 1)]
+    if len(rows) > REPORT:
+        raise ValueError(f"a report has at most {REPORT} rows; write larger results as JSON lines")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    out.write(bytearray((json.dumps(rows, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()))
+    out.close()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of every file below ``path``, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

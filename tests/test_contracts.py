@@ -7,10 +7,11 @@ SCHEMA = "row_id bigint, split string, language string, register string, grade_b
 
 def row(spark, **change):
     from qanat.functions.hashing import conversation_hash
+    from qanat.functions.text import stripped_lines
 
     base = {"row_id": 1, "split": "train", "language": "en", "register": "family_rich", "grade_band": "adult", "subject": "maths", "learning_objective": "Explain a long division", "scenario_family": "panic", "tags": ["ok-tag"], "messages": [("system", "s"), ("user", "u"), ("assistant", "a")], "conversation_sha256": None, "pressure_pattern": [1]} | change
     df = spark.createDataFrame([tuple(base[c.split()[0]] for c in SCHEMA.split(", "))], SCHEMA)
-    return df if "conversation_sha256" in change else df.withColumn("conversation_sha256", conversation_hash(F.col("messages")))
+    return df if "conversation_sha256" in change else df.withColumn("conversation_sha256", conversation_hash(F.col("messages"), stripped_lines))
 
 
 def codes(df):

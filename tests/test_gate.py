@@ -71,7 +71,7 @@ def test_heldout_hashes_take_the_composed_form(spark, tmp_path):
         scenarios=spark.createDataFrame([("s", [(composed, None)])], turns),
         release_rows=spark.createDataFrame([(1, [("user", apart)]), (2, [("user", "caf\u00e9 fin")])], "row_id bigint, messages array<struct<role:string,content:string>>"),
     )
-    assert [(r.row_id, r.turn) for r in gate_queries.heldout_exact_match(t).collect()] == [(1, 0)]
+    assert [(r.id, r.turn) for r in gate_queries.heldout_exact_match(t).collect()] == [("1", 0)]
     raw = json.dumps([{"id": "x", "text": apart}]).encode()
     (tmp_path / "a.json").write_bytes(raw)
     source = {"namespace": "n", "repo_relative_path": "a.json", "file_sha256": hashlib.sha256(raw).hexdigest(), "text_paths": ["text"]}

@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from qanat.sources import jsonl, sinks
@@ -56,3 +58,62 @@ def test_windows(spark):
     ev = spark.createDataFrame([(1, "2026-01-01 00:00:00", 1.0), (1, "2026-01-01 00:20:00", 2.0), (1, "2026-01-01 02:00:00", 3.0)], "user_id int, t string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r.events for r in ledger.tumbling(ev, "ts", "1 hour", ["user_id"]).collect()) == [1, 2]
     assert sorted(r.events for r in ledger.sessions(ev, "user_id", "ts", "30 minutes").collect()) == [1, 2]
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """Numbers are those of the file, whatever its splits."""
+    path = tmp_path / "many.txt"
+    path.write_text("".join(f"line {k}{' ' * (k % 50)}\r\n" if k % 7 else "\n" for k in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        own = jsonl.lines(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+        got = {r.line: r.raw for r in own.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: f"line {k}{' ' * (k % 50)}" if k % 7 else "" for k in range(1, 3001)}
+
+
+def test_keys_status_and_counts(spark, tmp_path):
+    a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    a.write_text('{"id": "1", "status": "success", "v": "x"}\n')
+    b.write_text('{"id": "1", "status": "failed", "v": "y"}\n{"id": "2", "status": "success", "v": "z"}\n')
+    schema = "id string, status string, v string"
+    assert {(r.id, r.v) for r in jsonl.newest(spark, [str(a), str(b)], schema, "id", "success").collect()} == {("1", "x"), ("2", "z")}
+    with pytest.raises(ValueError):
+        jsonl.pair(spark, str(a), str(b), schema, "id")
+    with pytest.raises(ValueError):
+        jsonl.checked(jsonl.strict(spark, str(b), schema), "id", 3)
+    assert jsonl.checked(jsonl.strict(spark, str(b), schema), "id", 2).count() == 2
+    a.write_text('{"source_id": "s", "compiler_assignment_id": "c"}\n{"source_id": "", "compiler_assignment_id": "d"}\n')
+    assert {r.key for r in jsonl.status_ledger(spark, str(a), "source_id string, compiler_assignment_id string").collect()} == {"s", "d"}
+
+
+def test_reports_and_guards(spark, tmp_path):
+    out = str(tmp_path / "report.json")
+    sinks.report(spark.createDataFrame([(2, "é")], "b int, a string"), out)
+    assert open(out, encoding="utf-8").read() == '[\n  {\n    "a": "é",\n    "b": 2\n  }\n]\n'
+    with pytest.raises(Exception):
+        sinks.report(spark.range(1), out)
+    sinks.csv(spark.range(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    jsonl.append(spark.range(1), str(tmp_path / "log"))
+    jsonl.append(spark.range(1), str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 2
+    manifest, state = str(tmp_path / "m.json"), tmp_path / "state"
+    ledger.guard(spark, manifest, str(state), {"model": "a"})
+    ledger.guard(spark, manifest, str(state), {"model": "a"})
+    with pytest.raises(ValueError):
+        ledger.guard(spark, manifest, str(state), {"model": "b"})
+    state.mkdir()
+    (state / "x").write_text("1")
+    with pytest.raises(ValueError):
+        ledger.guard(spark, str(tmp_path / "other.json"), str(state), {"model": "a"})
+
+
+def test_owned_names(spark):
+    from qanat.functions import patterns
+
+    paths = ["data/internal.jsonl", "outputs/judge.json", "a/scraped/c.txt", "zshots/s.png", "adapter_model.safetensors", ".env", "notes/Plan.md", ".env.example", "model/README.md"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] is not None for r in df.select(patterns.restricted_reason(F.col("p"), ("plan.md",))).collect()] == [True] * 7 + [False] * 2
