@@ -15,6 +15,19 @@ def documents(t: Tables):
     return t.documents.select(F.col("doc_id").alias("id"), "text")
 
 
+def edited(t: Tables):
+    """Documents, and copies of some of them under the negative id, a sentence longer."""
+    own = documents(t)
+    copies = own.where("id % 50 = 7").select((-F.col("id")).alias("id"), F.concat(F.lit("Read this again. "), "text").alias("text"))
+    return own.union(copies)
+
+
+def quoting(t: Tables):
+    """Documents by their ids as text, and one for every held-out text that quotes most of it."""
+    own = documents(t).select(F.col("id").cast("string").alias("id"), "text")
+    return own.union(references(t).select("ref", F.concat(F.lit("It was said: "), F.expr("substring(text, 1, 9 * length(text) div 10)"), F.lit(" or so."))))
+
+
 def references(t: Tables):
     """(ref, text) of the held-out suite: user and expected texts of every turn."""
     turns = t.scenarios.select("id", F.posexplode("turns").alias("p", "x"))
@@ -24,9 +37,11 @@ def references(t: Tables):
 
 W = words_sql("text", form=True)
 DOCS = f"docs AS (SELECT doc_id AS id, text, coalesce({W}, []) AS w FROM documents)"
-REFS = f"""refs AS (SELECT ref, coalesce({W}, []) AS w FROM (
+EDITED = DOCS.replace("FROM documents)", "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, 'Read this again. ' || text FROM documents WHERE doc_id % 50 = 7))")
+HELD = """SELECT ref, text FROM (
   SELECT id || '/' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') || '/' || f AS ref, CASE WHEN f = 'user' THEN turns[i].user ELSE turns[i].expected END AS text
-  FROM (SELECT id, turns, unnest(range(1, len(turns) + 1)) AS i FROM scenarios) s, (VALUES ('expected'), ('user')) v(f)) WHERE text IS NOT NULL)"""
+  FROM (SELECT id, turns, unnest(range(1, len(turns) + 1)) AS i FROM scenarios) s, (VALUES ('expected'), ('user')) v(f)) WHERE text IS NOT NULL"""
+REFS = f"refs AS (SELECT ref, coalesce({W}, []) AS w FROM ({HELD}))"
 
 
 def grams(source: str, n: int, key: str = "id", distinct: bool = False) -> str:
@@ -53,14 +68,14 @@ def exact_duplicates(t):
     return gate.exact_duplicates(documents(t))
 
 
-@query(f"WITH {DOCS}, {NEAR} SELECT * FROM near")
+@query(f"WITH {EDITED}, {NEAR} SELECT * FROM near")
 def near_duplicates(t):
-    return gate.near_duplicates(documents(t))
+    return gate.near_duplicates(edited(t))
 
 
-@query(f"WITH {DOCS}, {NEAR.replace('BETWEEN 2 AND 100', '>= 2')} SELECT * FROM near")
+@query(f"WITH {EDITED}, {NEAR.replace('BETWEEN 2 AND 100', '>= 2')} SELECT * FROM near")
 def near_duplicates_uncapped(t):
-    return gate.near_duplicates(documents(t), cap=None)
+    return gate.near_duplicates(edited(t), cap=None)
 
 
 @query(f"WITH {DOCS} SELECT array_to_string(w[1:8], ' ') AS opening, count(*) AS occurrences, count(DISTINCT id) AS records FROM docs WHERE len(w) >= 8 GROUP BY 1 HAVING count(DISTINCT id) >= 3")
@@ -85,9 +100,11 @@ def eval_overlap_longest(t):
     return gate.longest_overlaps(documents(t), references(t))
 
 
-@query(f"WITH {DOCS}, {REFS} SELECT DISTINCT id FROM {grams('docs', 12)} WHERE g IN (SELECT g FROM {grams('refs', 12, 'ref')})")
+@query(f"""WITH {REFS}, told AS (SELECT ref, 'It was said: ' || substr(text, 1, CAST(9 * length(text) // 10 AS INTEGER)) || ' or so.' AS text FROM ({HELD})),
+  docs AS (SELECT id, coalesce({W}, []) AS w FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT ref, text FROM told))
+  SELECT DISTINCT id FROM {grams('docs', 12)} WHERE g IN (SELECT g FROM {grams('refs', 12, 'ref')})""")
 def ngram_contamination_12(t):
-    return gate.contaminated(documents(t), references(t), 12)
+    return gate.contaminated(quoting(t), references(t), 12)
 
 
 @query(f"WITH {DOCS}, {REFS} SELECT id FROM docs WHERE id NOT IN (SELECT id FROM {grams('docs', 8)} WHERE g IN (SELECT g FROM {grams('refs', 8, 'ref')}))")
