@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qanat.llm.runtime import cut
+from qanat.llm.runtime import cut, mix
 from qanat.llm.tokens import tidy, with_tokens
 
 #: Documents that one task rounds, and residuals that one task combines.
 LEAF, FAN_IN = 20_000, 64
 
 
-def _uniform(seed: str, x: int) -> float:
-    return int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode(), digest_size=8).digest(), "big") / 2.0**64
+def _uniform(seed: str, ids: list[int]) -> np.ndarray:
+    """A number from 0 to 1 for each id."""
+    start = np.uint64(int.from_bytes(hashlib.blake2b(seed.encode(), digest_size=8).digest(), "big"))
+    return (mix(mix(np.array(ids, np.int64).view(np.uint64)) ^ start) >> np.uint64(11)) / 2.0**53
 
 
 def pivotal(items, seed: str):
@@ -25,8 +28,8 @@ def pivotal(items, seed: str):
     The open item meets the next one; mass moves from one to the other, by a random choice that keeps both
     expectations, until one of them is 0 or 1. Returns ([(id, 0 or 1)], residual (id, tokens, p) or None).
     """
-    done, held = [], None
-    for x, size, p in items:
+    done, held, items = [], None, list(items)
+    for (x, size, p), chance in zip(items, _uniform(seed, [i[0] for i in items]).tolist()):
         if p <= 0 or p >= 1:
             done.append((x, int(p >= 1)))
             continue
@@ -36,7 +39,7 @@ def pivotal(items, seed: str):
         y, other, q = held
         up = min((1 - p) * size, q * other)  # mass that may move to x
         down = min(p * size, (1 - q) * other)
-        if _uniform(seed, x) < down / (up + down):
+        if chance < down / (up + down):
             p, q = p + up / size, q - up / other
         else:
             p, q = p - down / size, q + down / other
@@ -83,7 +86,9 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: str = "mix", vocabul
 
     def settle(table: pa.Table) -> pa.Table:
         source, bucket = table.column("source")[0].as_py(), table.column("bucket")[0].as_py()
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "tokens", "p"))), key=lambda r: _uniform(seed, r[0]))
+        ids = table.column("doc_id").to_pylist()
+        order = np.lexsort((ids, _uniform(seed, ids)))
+        rows = list(zip(*(table.column(c).take(pa.array(order)).to_pylist() for c in ("doc_id", "tokens", "p"))))
         done, held = pivotal(rows, f"{seed}:{source}:{bucket}")
         sizes = {r[0]: r[1] for r in rows}
         out = [(x, sizes[x], float(v), v) for x, v in done] + ([(*held, None)] if held else [])

@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(splits.parted, "release_rows"),
         "p1_splits": _on(splits.split_rows, "release_rows", "split_targets"),
+        "p1_shares": _on(splits.split_shares, "release_rows", "split_targets"),
         "p2_found": _on(lambda rows: spans.shared_messages(rows).select("row_id", "turn"), "release_rows"),
         "p2_shares": _on(spans.shared_shares, "release_rows"),
         "p3_found": _on(lambda rows: crossdup.cross_pairs(rows).select("row_id_a", "row_id_b"), "release_rows"),

@@ -39,11 +39,11 @@ def parted(rows: DataFrame) -> DataFrame:
     return own.join(sets, "set_id").select("group_row_id", "row_id")
 
 
-def allocate(bundles: list[tuple[int, str | None, int]], targets: dict[str, float]) -> list[tuple[int, str | None, str, int]]:
+def allocate(bundles: list[tuple[int, str | None, int]], targets: dict[str, float], stay: dict[tuple[str | None, str], float] | None = None) -> list[tuple[int, str | None, str, int]]:
     """(size, profile, split, sets): how many sets of each bundle (size, profile, number of sets) go to each split.
 
-    Rows flow from profiles to splits at the least cost: a row that leaves its profile's split costs 1, a row above a
-    split's quota costs 3. The flow is then rounded to whole sets, largest first: as many as the profile's quota of a
+    Rows flow from profiles to splits at the least cost: a row of a profile costs the part of the profile's rows that would leave their own split
+    (1 less ``stay``, which is 1 for the profile's own split where it isn't given), a row above a split's quota costs 3. The flow is then rounded to whole sets, largest first: as many as the profile's quota of a
     split holds, the rest each to the split that is short of most rows.
     """
     names = list(targets)
@@ -58,7 +58,8 @@ def allocate(bundles: list[tuple[int, str | None, int]], targets: dict[str, floa
     # successive shortest paths: profile -> split -> ... -> split with room; a step back takes rows of another profile along
     flow = {(p, s): 0.0 for p in supply for s in names}
     room = dict(quota)
-    cost = lambda p, s: 0 if p is None or p == s else 1
+    stay = stay or {}
+    cost = lambda p, s: 0.0 if p is None else 1.0 - stay.get((p, s), float(p == s))
     for p in sorted(supply, key=lambda x: (x is None, str(x))):
         left = supply[p]
         while left > 1e-9:
@@ -67,7 +68,7 @@ def allocate(bundles: list[tuple[int, str | None, int]], targets: dict[str, floa
                 for a in names:
                     for b in names:
                         for q in supply:
-                            if a != b and flow[q, a] > 1e-9 and best[a][0] + cost(q, b) - cost(q, a) < best[b][0]:
+                            if a != b and flow[q, a] > 1e-9 and best[a][0] + cost(q, b) - cost(q, a) < best[b][0] - 1e-12:
                                 best[b] = (best[a][0] + cost(q, b) - cost(q, a), [*best[a][1], (q, a, b)])
             ends = [(c + (0 if room[s] > 1e-9 else 3), s, path) for s, (c, path) in best.items()]
             c, s, path = min(ends, key=lambda x: (x[0], -room[x[1]], x[1]))
@@ -118,7 +119,12 @@ def split_rows(rows: DataFrame, targets: DataFrame) -> DataFrame:
     sets = cut(votes.groupBy("set_id").agg(F.sum("n").alias("size"), F.min("least").alias("group_row_id"), most.alias("profile")))
     bundles = [(r["size"], r.profile, r.n) for r in sets.groupBy("size", "profile").agg(F.count("*").alias("n")).collect()]
     runs, base = [], {}
-    for size, profile, split, k in allocate(bundles, goal):
+    kept = votes.join(sets.select("set_id", "profile"), "set_id").where("split IS NOT NULL").groupBy("profile", "split").agg(F.sum("n").alias("n")).collect()  # a row for each two splits
+    labelled: dict[str, int] = {}
+    for r in kept:
+        labelled[r.profile] = labelled.get(r.profile, 0) + r.n
+    stay = {(r.profile, s): 0.0 for r in kept for s in goal} | {(r.profile, r.split): r.n / labelled[r.profile] for r in kept}
+    for size, profile, split, k in allocate(bundles, goal, stay):
         at = base.get((size, profile), 0)
         runs.append((size, profile or "", split, at, at + k))
         base[size, profile] = at + k
@@ -127,3 +133,11 @@ def split_rows(rows: DataFrame, targets: DataFrame) -> DataFrame:
     given = placed.join(plan, ["size", "label"]).where("rank >= low AND rank < high").select("set_id", "group_row_id", "given")
     out = own.join(given, "set_id")
     return out.select("row_id", "group_row_id", F.col("given").alias("split"), F.col("split").alias("previous_split"), (F.col("split").isNotNull() & (F.col("split") != F.col("given"))).alias("moved"))
+
+
+def split_shares(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, target_share, records, share, moved): what each split of ``split_rows`` reached, and how many of its records came from another one."""
+    given = split_rows(rows, targets).groupBy("split").agg(F.count("*").alias("records"), F.count_if("moved").alias("moved"))
+    out = targets.where("split IS NOT NULL").select("split", "target_share").join(given, "split", "left").na.fill(0, ["records", "moved"])
+    total = given.agg(F.sum("records").alias("total"))
+    return out.crossJoin(F.broadcast(total)).select("split", "target_share", "records", F.when(F.col("total") > 0, F.col("records") / F.col("total")).otherwise(0.0).alias("share"), "moved")  # one row joined to one per split

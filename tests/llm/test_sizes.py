@@ -169,3 +169,20 @@ def test_allocation_meets_quotas():
     assert back == Counter({(s, p): c for s, p, c in bundles})
     for split, share in (("train", 0.85), ("validation", 0.1), ("test", 0.05)):
         assert abs(got[split] - share * rows) <= 2
+
+
+def test_minority_labels_count_as_moves():
+    """A profile's rows cost what part of them would leave their split; quotas are met and test sets stay."""
+    out = splits.allocate([(10, "train", 10), (10, "test", 4)], {"train": 0.6, "test": 0.4}, {("train", "train"): 0.9, ("train", "test"): 0.1, ("test", "train"): 0.4, ("test", "test"): 0.6})
+    given = {}
+    for size, _, s, k in out:
+        given[s] = given.get(s, 0) + size * k
+    assert given == {"train": 80, "test": 60} and sum(k for _, p, s, k in out if p == "test" and s == "test") == 4
+
+
+def test_shares_are_reported(spark):
+    rows = [{"row_id": i, "said": [], "group": f"g{i % 40}", "split": "train"} for i in range(200)]
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
+    got = {r.split: r for r in splits.split_shares(common.rows(spark, rows), targets).collect()}
+    assert {s: r.records for s, r in got.items()} == {"train": 160, "validation": 20, "test": 20}
+    assert {s: r.moved for s, r in got.items()} == {"train": 0, "validation": 20, "test": 20}
