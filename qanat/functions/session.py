@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,3 +38,16 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes in fewer parts than there are; large inputs already do."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes that ``df`` reads, as its files tell; of a plan that doesn't know them, the bytes of its rows as JSON."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 56:
+        return size
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))).collect()[0][0] or 0
+
+
+def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df`` to be broadcast if it reads no more than ``most`` bytes; a larger one is left to the planner."""
+    return F.broadcast(df) if stored_bytes(df) <= most else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qanat.functions.hashing import stable_number
+from qanat.functions.session import small
 
 # The state of a lesson before its first round, and what moves and pressures make of it.
 INITIAL = {"authority": "respect_with_evidence", "drift": "anchored", "integrity": "student_ownership_expected", "misconception": "unassessed", "religious_boundary": "within_academic_scope"}
@@ -64,12 +65,12 @@ def pick(options: Column, seed: Column, key: Column) -> Column:
 def plans(subjects: DataFrame, families: DataFrame, lengths: DataFrame, registers: DataFrame, seeds: DataFrame, version: str, phases: list[str]) -> DataFrame:
     """One row per subject, family, length, register and seed: id, twin_key, task, levels, non_monotonic, rounds.
 
-    Tables are small dimensions, so they are joined by broadcast cross products. Twins differ in the register only and share
+    Tables are small dimensions and joined by cross products, which broadcast what is small. Twins differ in the register only and share
     task and pressure. A round: number, phase, direction, kind, level, student_move, tutor_move.
     """
     grid = seeds.select(F.col("seed").cast("bigint").alias("seed"))
     for df, name in ((subjects, "s"), (families, "f"), (lengths, "l"), (registers, "r")):
-        grid = grid.crossJoin(F.broadcast(df.select(F.struct("*").alias(name))))
+        grid = grid.crossJoin(small(df.select(F.struct("*").alias(name))))
     twin = F.concat_ws(":", "s.subject", "f.family", "l.length")
     grid = grid.withColumn("twin_key", twin).withColumn("task", pick(F.col("s.tasks"), F.col("seed"), F.concat(F.lit("task:"), "twin_key")))
     grid = grid.withColumn("levels", pick(F.col("l.pressure_patterns"), F.col("seed"), F.concat_ws(":", F.lit("pressure"), "twin_key", "task.id")))

@@ -181,9 +181,25 @@ PATH_SQL = "lower(coalesce(source, 'data') || '/' || coalesce(doc_kind, 'notes')
     WHEN string_split(p, '/')[-1] LIKE '.env.%' THEN 'environment file' WHEN p LIKE '%raw_transcript%' THEN 'internal generation/review artifact'
     WHEN p LIKE '%.bin' THEN 'restricted binary or source payload' END AS reason FROM paths) WHERE reason IS NOT NULL""")
 def restricted_path_reason(t):
+    return t.documents.select("doc_id", patterns.restricted_reason(document_path()).alias("reason")).where("reason IS NOT NULL")
+
+
+def document_path():
+    """A path made of what a document tells of itself."""
     name = F.when(F.col("doc_id") % 7 == 0, "/raw_transcript.").when(F.col("doc_id") % 5 == 0, "/.env.").otherwise("/text.")
-    path = F.concat(F.coalesce("source", F.lit("data")), F.lit("/"), F.coalesce("doc_kind", F.lit("notes")), name, F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, ".bin").otherwise(".txt"))
-    return t.documents.select("doc_id", patterns.restricted_reason(path).alias("reason")).where("reason IS NOT NULL")
+    return F.concat(F.coalesce("source", F.lit("data")), F.lit("/"), F.coalesce("doc_kind", F.lit("notes")), name, F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, ".bin").otherwise(".txt"))
+
+
+@query(f"""WITH own AS (SELECT doc_id, {PATH_SQL} AS p, octet_length(encode(text)) AS n, doc_id % 101 AS k FROM documents)
+  SELECT doc_id, 'restricted path' AS finding FROM own WHERE list_has_any(string_split(p, '/'), {patterns.RESTRICTED_PARTS}) OR string_split(p, '/')[-1] LIKE '.env.%' OR p LIKE '%raw_transcript%' OR p LIKE '%.bin'
+  UNION ALL SELECT doc_id, 'file too large' FROM own WHERE n > 20000 UNION ALL SELECT doc_id, label FROM own JOIN (VALUES {', '.join(f'({7 * k + 1}, {n!r})' for k, (n, _) in enumerate(SECRETS))}) s(k, label) USING (k) WHERE n IS NOT NULL""")
+def release_scan(t):
+    """All findings of each file: why its path stays out, its size, and secrets in it."""
+    own = t.documents.select("doc_id", document_path().alias("path"), F.octet_length("text").alias("n"), F.concat("text", F.expr(LEAKED)).alias("text"))
+    path = F.when(patterns.restricted_reason(F.col("path")).isNotNull(), F.lit("restricted path"))
+    large = F.when(F.col("n") > 20_000, F.lit("file too large"))
+    found = F.concat(F.array_compact(F.array(path, large)), F.coalesce(patterns.labels(F.col("text")), F.array().cast("array<string>")))
+    return own.select("doc_id", F.explode(found).alias("finding"))
 
 
 @query(r"""SELECT doc_id, CAST(u.i AS INTEGER) AS sentence_no, s[u.i] AS sentence FROM (

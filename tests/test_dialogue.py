@@ -76,3 +76,12 @@ def test_heldout_manifest(spark, tmp_path):
 def test_allowlist(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a\n\n# note\nb\n")
     assert sorted(r.path for r in heldout.allowlist(spark, str(tmp_path / "a.txt")).collect()) == ["a", "b"]
+
+
+def test_manifest_sources_that_exist(spark, tmp_path):
+    from qanat.sources import heldout
+
+    (tmp_path / "a.json").write_text("[]")
+    sources = [{"namespace": "n", "repo_relative_path": p, "file_sha256": "x"} for p in ("a.json", "b.json", " ")]
+    (tmp_path / "m.json").write_text(json.dumps({"ids": [], "content_hashes": [], "sources": sources}))
+    assert heldout.references(spark, str(tmp_path / "m.json"), str(tmp_path)) == [f"{tmp_path}/a.json"]
