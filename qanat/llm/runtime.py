@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qanat.functions.session import cut  # noqa: F401
+from qanat.functions.session import cut, stored_bytes  # noqa: F401
 
 #: Bits of a membership filter: sixteen a member within these limits (16 MB at most, whatever the corpus), and parts in which it travels.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
@@ -18,14 +18,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes that ``df`` reads, as its files tell; of a plan that doesn't know them, the bytes of its rows as JSON."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < 1 << 56:
-        return size
-    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))).collect()[0][0] or 0
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words in which each input bit moves every output bit."""
     x = x.astype(np.uint64, copy=True)
