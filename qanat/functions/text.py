@@ -56,9 +56,9 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def ngram_hashes(words: Column, n: int) -> Column:
-    """64-bit hashes of every n consecutive words: a sixth of the shuffle of the words themselves."""
+    """64-bit hashes of every n consecutive words: a sixth of the shuffle of the words themselves. Each word is hashed once, an n-gram by its words' hashes."""
     none = F.array().cast("array<bigint>")
-    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(none))
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(none))
 
 
 def stripped_lines(text: Column) -> Column:
