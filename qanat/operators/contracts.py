@@ -70,3 +70,27 @@ def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(field, value, rows): how often each value of each column occurs; nulls are not counted."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
     return long.where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("rows"))
+
+
+def release_rules(system: str) -> list[tuple[str, Column]]:
+    """Rules of rows that go into a release: at least three messages, the exact system message, contents that aren't blank, turns in order, the tutor last, and the hash of the contents as they are."""
+    m = F.col("messages")
+    return [
+        ("too_few_messages", broken(F.size(m) < 3)),
+        ("wrong_system_message", broken((F.try_element_at(m, F.lit(1))["role"] != "system") | (F.try_element_at(m, F.lit(1))["content"] != system))),
+        ("malformed_message", broken(roles_out_of_order(m) | F.exists(m, lambda x: F.coalesce(F.trim(x["content"]) == "", F.lit(True))))),
+        ("tutor_not_last", broken(F.try_element_at(m, F.lit(-1))["role"] != "assistant")),
+        ("conversation_hash_mismatch", broken(F.col("conversation_sha256") != conversation_hash(m))),
+    ]
+
+
+def presplit_rules(role: str) -> list[tuple[str, Column]]:
+    """Rules of rows before a split: their corpus role is ``role`` and they have no split yet."""
+    return [("wrong_corpus_role", broken(F.col("corpus_role") != role)), ("pre_split", F.col("split").isNotNull() | F.col("split_group_sha256").isNotNull())]
+
+
+def quota_differences(rows: DataFrame, column: str, quotas: dict[str, int]) -> DataFrame:
+    """(value, expected, found): values of ``column`` whose number of rows isn't its quota; a value without one should have none. Null counts as "None"."""
+    have = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("value")).agg(F.count("*").alias("found"))
+    want = rows.sparkSession.createDataFrame(sorted(quotas.items()) or [("", 0)], "value string, expected bigint")
+    return want.join(have, "value", "full").na.fill(0, ["expected", "found"]).where("expected <> found").select("value", "expected", "found")

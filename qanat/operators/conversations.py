@@ -160,3 +160,19 @@ def report(rows: DataFrame, found: DataFrame, fail_on: str = "block") -> DataFra
         .union(found.groupBy(F.concat(F.lit("flag:"), "code")).agg(F.count("*")))
         .union(by.agg(F.coalesce(F.max(F.col("decision").isin(bad or [""]).cast("bigint")), F.lit(0)).alias("n")).select(F.lit("failed"), "n"))
     )
+
+
+def corpus_flags(rows: DataFrame, verbatim_span_words: int = 16, opening_words: int = 8, opening_repeat_min: int = 3, near_duplicate_threshold: float = 0.82) -> DataFrame:
+    """(code, severity, first_id, records, evidence): what several records have in common, sorted by code, first record and evidence."""
+    words = cut(worded(rows))
+    whole = cut(conversation_words(words))
+    opened = opening_flags(words, opening_words, opening_repeat_min).groupBy("evidence").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("records"))
+    near = gate.near_duplicates(whole, near_duplicate_threshold)
+    parts = {
+        "repeated_templated_opening": opened.select("first_id", "records", "evidence"),
+        "suspicious_shared_verbatim_span": shared_spans(words, verbatim_span_words).select("first_id", "records", F.col("span").alias("evidence")),
+        "exact_corpus_duplicate": gate.exact_duplicates(whole).select("first_id", F.col("copies").alias("records"), F.col("text_sha256").alias("evidence")),
+        "near_corpus_duplicate": near.select(F.col("left_id").alias("first_id"), F.lit(2).cast("bigint").alias("records"), F.concat(F.lit("5-gram Jaccard="), F.format_string("%.3f", "similarity")).alias("evidence")),
+    }
+    found = [df.select(F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "first_id", "records", "evidence") for code, df in parts.items()]
+    return reduce(DataFrame.union, found).orderBy("code", "first_id", "evidence")

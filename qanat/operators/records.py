@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qanat.functions.hashing import conversation_hash
 from qanat.functions.session import cut
 from qanat.functions.text import stripped_lines
+from qanat.sources import jsonl
 
 MAP = "map<string,string>"
 
@@ -86,3 +87,10 @@ def report(lines: DataFrame, found: DataFrame) -> DataFrame:
     bad = found.agg(F.countDistinct("line").alias("invalid_rows"), F.count("*").alias("errors"), F.count_if(F.col("code").startswith("heldout_")).alias("heldout_matches"))
     both = own.crossJoin(F.broadcast(bad))  # one row each
     return both.select("input_lines", "parsed_rows", F.greatest(F.lit(0), F.col("input_lines") - F.col("invalid_rows")).alias("valid_rows"), "invalid_rows", "errors", "heldout_matches")
+
+
+def of_file(spark: SparkSession, path: str, required: list[str], allowed: list[str], version: str, id_pattern: str, **more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(issues, report) of a JSON lines file, with the numbers of its lines."""
+    own = jsonl.lines(spark, path).select("line", "raw")
+    found = cut(issues(own, required, allowed, version, id_pattern, **more))
+    return found, report(own, found)

@@ -154,3 +154,12 @@ def conversation_gate_report(t):
 @query(f"""WITH {BROKEN}, {SAID}, {WRONG} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY code, message) AS INTEGER) AS place, code, message FROM wrong""")
 def ordered_flags(t):
     return conversations.ordered(conversations.pattern_flags(planted(t))).select("id", "place", "code", "message")
+
+
+@query(f"""WITH {ROWS}, {SAID}, {TALK}, {NEAR}, {OPEN}, {SPANS}
+  SELECT 'repeated_templated_opening' AS code, 'review' AS severity, min(id) AS first_id, count(DISTINCT id) AS records, opening AS evidence FROM opened JOIN repeated USING (opening) GROUP BY opening
+  UNION ALL SELECT 'suspicious_shared_verbatim_span', 'review', occ[1].id, len(occ), span FROM spans
+  UNION ALL SELECT 'exact_corpus_duplicate', 'block', min(id), count(*), sha256(array_to_string(w, ' ')) FROM docs WHERE len(w) > 0 GROUP BY w HAVING count(*) > 1
+  UNION ALL SELECT 'near_corpus_duplicate', 'block', left_id, 2, printf('5-gram Jaccard=%.3f', similarity) FROM near""")
+def conversation_corpus_flags(t):
+    return conversations.corpus_flags(rows(t))

@@ -402,3 +402,11 @@ def quality_maps(t):
     own = once(t, "tags").where("tags IS NOT NULL AND size(array_distinct(tags)) = size(tags) AND size(tags) BETWEEN 1 AND 3")
     m = F.map_from_arrays("tags", F.transform("tags", lambda x, i: (i + 1) % 4 > 0))
     return own.select("row_id", F.forall(F.map_values(m), lambda v: v).alias("all_true"), F.size(F.map_keys(m)).cast("bigint").alias("keys"))
+
+
+@query("SELECT condition, scenario_id, turns, row_number() OVER (ORDER BY condition NULLS FIRST, scenario_id) AS place FROM (SELECT condition, scenario_id, count(*) AS turns FROM (SELECT DISTINCT * FROM turn_results) GROUP BY ALL) ORDER BY place LIMIT 200")
+def results_order(t):
+    """The first two hundred results by condition and scenario: a report of fixed length."""
+    order = [F.asc_nulls_first("condition"), F.asc_nulls_first("scenario_id")]
+    top = t.turn_results.distinct().groupBy("condition", "scenario_id").agg(F.count("*").alias("turns")).orderBy(*order).limit(200)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # two hundred rows

@@ -117,3 +117,21 @@ def test_owned_names(spark):
     paths = ["data/internal.jsonl", "outputs/judge.json", "a/scraped/c.txt", "zshots/s.png", "adapter_model.safetensors", ".env", "notes/Plan.md", ".env.example", "model/README.md"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r[0] is not None for r in df.select(patterns.restricted_reason(F.col("p"), ("plan.md",))).collect()] == [True] * 7 + [False] * 2
+
+
+def test_records_of_a_file(spark, tmp_path):
+    from qanat.operators import records
+
+    good = '{"schema_version": "1", "id": "a1", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "%s"}]}'
+    lines = [good % "x", "", "{", "[]", good % "x", (good % "y").replace("a1", "A"), (good % "z").replace('"schema_version": "1"', '"more": 1'), (good % "q").replace('{"role": "user", "content": "u"}', "5")]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines) + "\n")
+    required = ["schema_version", "id", "messages"]
+    found, report = records.of_file(spark, str(tmp_path / "r.jsonl"), required, required, "1", "[a-z][0-9]", reserved_ids=spark.createDataFrame([("a1",)], "id string"))
+    got = {(r.line, r.code, r.detail) for r in found.collect()}
+    assert got == {
+        (1, "heldout_id_match", None), (3, "invalid_json", None), (4, "record_not_object", None), (5, "duplicate_id", "1"), (5, "duplicate_conversation", "1"), (5, "heldout_id_match", None),
+        (6, "invalid_id", None), (7, "missing_fields", "schema_version"), (7, "unknown_fields", "more"), (7, "schema_version", None), (7, "duplicate_id", "1"), (7, "heldout_id_match", None),
+        (8, "invalid_message", None), (8, "duplicate_id", "1"), (8, "heldout_id_match", None), (8, "invalid_role_sequence", None),
+    }
+    r = report.collect()[0]
+    assert (r.input_lines, r.parsed_rows, r.valid_rows, r.invalid_rows, r.heldout_matches) == (7, 6, 0, 7, 4)
