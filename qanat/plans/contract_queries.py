@@ -64,15 +64,15 @@ def _sql_rules() -> str:
 
     shape = "(messages IS NULL OR len(messages) NOT BETWEEN 3 AND 41)"
     pressure = "(pressure_pattern IS NULL OR len(pressure_pattern) NOT BETWEEN 1 AND 20 OR len(list_filter(pressure_pattern, lambda x: x NOT BETWEEN 0 AND 5)) > 0)"
-    tags = f"(tags IS NOT NULL AND (len(tags) > 30 OR len(list_filter(tags, lambda x: NOT coalesce(regexp_full_match(x, '{contracts.TAG}'), false))) > 0))"
+    tags = f"(tags IS NOT NULL AND (len(tags) > 30 OR len(list_filter(tags, lambda x: NOT coalesce(regexp_full_match(x, '[a-z0-9][a-z0-9_-]{{1,49}}'), false))) > 0))"
     well = f"(NOT {shape} AND row_id NOT IN (SELECT row_id FROM said WHERE coalesce(trim(content), '') = '' OR length(content) > 20000))"
     good = "coalesce(regexp_full_match(conversation_sha256, '[a-f0-9]{64}'), false)"
     rules = {
-        "invalid_split": enum("split", contracts.SPLITS),
-        "invalid_language": enum("language", contracts.LANGUAGES),
-        "invalid_register": enum("register", contracts.REGISTERS),
-        "invalid_grade_band": enum("grade_band", contracts.GRADE_BANDS),
-        **{f"invalid_text_field:{c}": f"{c} IS NULL OR length(trim({c})) < {low} OR length({c}) > {high}" for c, (low, high) in contracts.TEXT_LIMITS.items()},
+        "invalid_split": enum("split", ["train", "validation"]),
+        "invalid_language": enum("language", ["en", "en-AE", "ar", "ar-AE"]),
+        "invalid_register": enum("register", ["institutional_light", "family_rich"]),
+        "invalid_grade_band": enum("grade_band", ["primary_1_5", "middle_6_8", "secondary_9_12", "adult"]),
+        **{f"invalid_text_field:{c}": f"{c} IS NULL OR length(trim({c})) < {low} OR length({c}) > {high}" for c, low, high in (("subject", 2, 80), ("learning_objective", 10, 500), ("scenario_family", 3, 100))},
         "invalid_tags": tags,
         "duplicate_tags": f"NOT {tags} AND coalesce(len(list_distinct(tags)) < len(tags), false)",
         "invalid_messages": shape,
