@@ -46,7 +46,7 @@ from qanat.llm.textcore import SHINGLE, chunks, consistent_form, least_runs, mix
 SEGMENT, SPREAD, SMALL = 8, 5, 64
 TANGLED = 1 / 32
 #: Pairs of segments that one step of a block's product holds at once.
-STEP = 1 << 21
+STEP = 1 << 19
 #: Bytes that a block should have, and bytes above which its segments are counted in parts.
 BLOCK, HOT_BLOCK = 32 << 20, 64 << 20
 #: Texts of a segment above which its pairs are made in cells.
