@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qanat.functions import patterns
-from qanat.functions.session import cut, spread
+from qanat.functions.session import cut, stored
 from qanat.functions.text import let, ngram_hashes, tokens
 from qanat.operators import gate
 
@@ -36,8 +36,21 @@ def well_formed(rows: DataFrame) -> DataFrame:
 
 
 def worded(rows: DataFrame) -> DataFrame:
-    """(id, message, role, w): the words of each well-formed message, once a record."""
-    return well_formed(spread(rows.select("id", "messages"))).select("id", "message", "role", tokens(F.col("content")).alias("w")).dropDuplicates(["id", "message"])
+    """(id, message, role, w): the words of each well-formed message, once a record. A record's messages are in one partition."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    once = rows.select("id", "messages").repartition(parts, "id").groupBy("id").agg(F.any_value("messages", True).alias("messages"))
+    return well_formed(once).select("id", "message", "role", tokens(F.col("content")).alias("w"))
+
+
+def records(words: DataFrame) -> DataFrame:
+    """(id, ms): a record's messages (message, role, w) in order. A table that has them already stays as it is."""
+    return words if "ms" in words.columns else words.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("message", "role", "w"))).alias("ms"))  # the messages of one record
+
+
+def messages(words: DataFrame) -> DataFrame:
+    """(id, message, role, w), of messages or of records."""
+    return words.select("id", F.explode("ms").alias("m")).select("id", "m.message", "m.role", "m.w") if "ms" in words.columns else words
 
 
 def unscannable(rows: DataFrame) -> DataFrame:
@@ -57,33 +70,36 @@ def pattern_flags(rows: DataFrame, bank=None) -> DataFrame:
 
 def overlaps(words: DataFrame, references: DataFrame, n: int = 8) -> DataFrame:
     """(id, message, ref, overlap_words, start): the longest run of words of each message that stands in a reference."""
-    found = gate.longest_overlaps(words.select(F.struct("id", "message").alias("id"), "w"), references, n)
+    found = gate.longest_overlaps(messages(words).select(F.struct("id", "message").alias("id"), "w"), references, n)
     return found.select("id.id", "id.message", "ref", "overlap_words", "start")
 
 
 def openings(words: DataFrame, n: int = 8, least: int = 3) -> DataFrame:
     """(opening, occurrences, records): first words of assistant messages that at least ``least`` records begin with."""
-    first = words.where("role = 'assistant'").where(F.size("w") >= n).select("id", F.array_join(F.slice("w", 1, n), " ").alias("opening"))
+    first = messages(words).where("role = 'assistant'").where(F.size("w") >= n).select("id", F.array_join(F.slice("w", 1, n), " ").alias("opening"))
     return first.groupBy("opening").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("records")).where(F.col("records") >= least)
 
 
 def opening_flags(words: DataFrame, n: int = 8, least: int = 3) -> DataFrame:
     """(id, message, evidence, occurrences): every occurrence of a repeated opening."""
-    first = words.where("role = 'assistant'").where(F.size("w") >= n).select("id", "message", F.array_join(F.slice("w", 1, n), " ").alias("opening"))
-    return first.join(openings(words, n, least), "opening").select("id", "message", F.col("opening").alias("evidence"), "occurrences")
+    first = messages(words).where("role = 'assistant'").where(F.size("w") >= n).select("id", "message", F.array_join(F.slice("w", 1, n), " ").alias("opening"))
+    return first.join(openings(words, n, least).hint("merge"), "opening").select("id", "message", F.col("opening").alias("evidence"), "occurrences")
 
 
 def span_sets(words: DataFrame, n: int = 16) -> tuple[DataFrame, DataFrame]:
     """(places, sets): where each n-word span first stands in a record, and one span for each set of places of at least two records.
 
-    places (id, message, g) and sets (g, span, records, places, first_id, last_id). Sets are told apart by their count, ends and the sum of their
-    hashes; the span that stands for a set is the least. Spans travel as hashes, and words are fetched for shared ones only.
+    places (id, message, g), of spans that several records have, and sets (g, span, records, places, first_id, last_id). Sets are told apart by their
+    count, ends and the sum of their hashes; the span that stands for a set is the least. Spans travel once, as hashes, and words are fetched for shared ones only.
     """
-    posts = words.select("id", "message", F.explode(let(ngram_hashes(F.col("w"), n), F.array_distinct)).alias("g"))
-    places = cut(posts.groupBy("id", "g").agg(F.min("message").alias("message")))
+    words = records(words)
+    said = F.transform("ms", lambda m: F.transform(F.array_distinct(ngram_hashes(m["w"], n)), lambda g: F.struct(g.alias("g"), m["message"].alias("message"))))
+    first = let(F.sort_array(F.flatten(said)), lambda x: F.filter(x, lambda p, i: (i == 0) | (F.get(x, i - 1)["g"] != p["g"])))  # a span counts where it first stands
+    posts = words.select("id", F.explode(first).alias("p")).select("id", "p.g", "p.message")
+    places = stored(posts.withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1").drop("c"))
     at = F.struct("id", "message")
-    sets = places.groupBy("g").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(at).alias("x"), F.sum(F.xxhash64("id", "message").cast("decimal(20,0)")).alias("s")).where("records > 1")
-    spelled = gate.spell(words.select(F.struct("id", "message").alias("id"), "w"), sets, n, "x")
+    sets = places.groupBy("g").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(at).alias("x"), F.sum(F.xxhash64("id", "message").cast("decimal(20,0)")).alias("s"))
+    spelled = gate.spell(messages(words).select(F.struct("id", "message").alias("id"), "w"), sets, n, "x")
     least = spelled.groupBy("records", "first_id", "last_id", "x", "s").agg(F.min(F.struct("span", "g")).alias("m"))
     return places, least.select("m.g", "m.span", "records", "first_id", "last_id")
 
@@ -96,13 +112,13 @@ def shared_spans(words: DataFrame, n: int = 16) -> DataFrame:
 def span_flags(words: DataFrame, n: int = 16) -> DataFrame:
     """(id, message, evidence, peers): each place of each reported span, with the number of other records that have it."""
     places, sets = span_sets(words, n)
-    return places.join(sets, "g").select("id", "message", F.col("span").alias("evidence"), (F.col("records") - 1).alias("peers"))
+    return places.join(sets.hint("merge"), "g").select("id", "message", F.col("span").alias("evidence"), (F.col("records") - 1).alias("peers"))
 
 
 def conversation_words(words: DataFrame) -> DataFrame:
     """(id, w): role and words of all messages but the system's, in order. A record without any has no words."""
-    own = words.where("role <> 'system'").select("id", F.struct("message", F.concat(tokens(F.col("role")), "w").alias("w")).alias("x"))
-    return own.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("id", F.flatten("x.w").alias("w"))  # the messages of one record
+    own = records(words).select("id", F.filter("ms", lambda m: m["role"] != "system").alias("ms")).where(F.size("ms") > 0)
+    return own.select("id", F.flatten(F.transform("ms", lambda m: F.concat(tokens(m["role"]), m["w"]))).alias("w"))
 
 
 def exact_duplicates(words: DataFrame) -> DataFrame:
@@ -119,10 +135,10 @@ def flags(rows: DataFrame, references: DataFrame, eval_overlap_words: int = 8, v
     """(id, code, severity, message, evidence): all flags of all records; one of a whole record has no message."""
     if min(eval_overlap_words, verbatim_span_words, opening_words) < 3 or opening_repeat_min < 2 or not 0 < near_duplicate_threshold <= 1:
         raise ValueError("words from 3, repeats from 2, a threshold above 0 and at most 1")
-    words = cut(worded(rows))
-    whole = cut(conversation_words(words))
+    words = stored(records(worded(rows)))
+    whole = conversation_words(words)
     digest = whole.where(F.size("w") > 0).select("id", F.sha2(F.array_join("w", " "), 256).alias("text_sha256"))
-    copies = digest.join(gate.exact_duplicates(whole).select("text_sha256"), "text_sha256", "left_semi").select("id", F.col("text_sha256").alias("evidence"))
+    copies = digest.join(gate.exact_duplicates(whole).select("text_sha256").hint("merge"), "text_sha256", "left_semi").select("id", F.col("text_sha256").alias("evidence"))
     near = gate.near_duplicates(whole, near_duplicate_threshold).select("left_id", "right_id", F.concat(F.lit("5-gram Jaccard="), F.format_string("%.3f", "similarity")).alias("evidence"))
     none = F.lit(None).cast("int")
     parts = {
@@ -131,7 +147,7 @@ def flags(rows: DataFrame, references: DataFrame, eval_overlap_words: int = 8, v
         "repeated_templated_opening": opening_flags(words, opening_words, opening_repeat_min).select("id", "message", "evidence"),
         "suspicious_shared_verbatim_span": span_flags(words, verbatim_span_words).select("id", "message", "evidence"),
         "exact_corpus_duplicate": copies.select("id", none.alias("message"), "evidence"),
-        "near_corpus_duplicate": near.select(F.col("left_id").alias("id"), none.alias("message"), "evidence").union(near.select("right_id", none, "evidence")),
+        "near_corpus_duplicate": near.select(F.explode(F.array("left_id", "right_id")).alias("id"), none.alias("message"), "evidence"),
     }
     found = [df.select("id", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "message", "evidence") for code, df in parts.items()]
     return reduce(DataFrame.union, found, pattern_flags(rows).select("id", "code", "severity", "message", "evidence"))
@@ -151,7 +167,7 @@ def report(rows: DataFrame, found: DataFrame, fail_on: str = "block") -> DataFra
     """(measure, n): records scanned, decisions, flags by code, and ``failed``, which is 1 if a decision is as bad as ``fail_on`` or worse."""
     if fail_on not in RANK:
         raise ValueError(f"fail_on is one of {sorted(RANK)}")
-    found = cut(found)
+    found = stored(found)
     by = cut(decisions(rows, found).groupBy("decision").agg(F.count("*").alias("n")))
     bad = [d for d in ("review", "block") if RANK[d] >= RANK[fail_on]]
     return (
@@ -164,8 +180,8 @@ def report(rows: DataFrame, found: DataFrame, fail_on: str = "block") -> DataFra
 
 def corpus_flags(rows: DataFrame, verbatim_span_words: int = 16, opening_words: int = 8, opening_repeat_min: int = 3, near_duplicate_threshold: float = 0.82) -> DataFrame:
     """(code, severity, first_id, records, evidence): what several records have in common, sorted by code, first record and evidence."""
-    words = cut(worded(rows))
-    whole = cut(conversation_words(words))
+    words = stored(records(worded(rows)))
+    whole = conversation_words(words)
     opened = opening_flags(words, opening_words, opening_repeat_min).groupBy("evidence").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("records"))
     near = gate.near_duplicates(whole, near_duplicate_threshold)
     parts = {
