@@ -136,7 +136,7 @@ def flags(rows: DataFrame, references: DataFrame, eval_overlap_words: int = 8, v
     if min(eval_overlap_words, verbatim_span_words, opening_words) < 3 or opening_repeat_min < 2 or not 0 < near_duplicate_threshold <= 1:
         raise ValueError("words from 3, repeats from 2, a threshold above 0 and at most 1")
     words = stored(records(worded(rows)))
-    whole = conversation_words(words)
+    whole = stored(gate.marked(conversation_words(words)))
     digest = whole.where(F.size("w") > 0).select("id", F.sha2(F.array_join("w", " "), 256).alias("text_sha256"))
     copies = digest.join(gate.exact_duplicates(whole).select("text_sha256").hint("merge"), "text_sha256", "left_semi").select("id", F.col("text_sha256").alias("evidence"))
     near = gate.near_duplicates(whole, near_duplicate_threshold).select("left_id", "right_id", F.concat(F.lit("5-gram Jaccard="), F.format_string("%.3f", "similarity")).alias("evidence"))
@@ -181,7 +181,7 @@ def report(rows: DataFrame, found: DataFrame, fail_on: str = "block") -> DataFra
 def corpus_flags(rows: DataFrame, verbatim_span_words: int = 16, opening_words: int = 8, opening_repeat_min: int = 3, near_duplicate_threshold: float = 0.82) -> DataFrame:
     """(code, severity, first_id, records, evidence): what several records have in common, sorted by code, first record and evidence."""
     words = stored(records(worded(rows)))
-    whole = conversation_words(words)
+    whole = stored(gate.marked(conversation_words(words)))
     opened = opening_flags(words, opening_words, opening_repeat_min).groupBy("evidence").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("records"))
     near = gate.near_duplicates(whole, near_duplicate_threshold)
     parts = {

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 from types import SimpleNamespace
 
 from qanat.operators import gate
@@ -41,6 +42,38 @@ def test_near_duplicates_cap_counts_in_sizes_only(spark):
     assert gate.near_duplicates(many).collect() == []
 
 
+def test_near_duplicates_send_few_of_the_ngrams(spark):
+    said = random.Random(1)
+    many = [" ".join(f"w{said.randrange(5000)}" for _ in range(404)) for _ in range(4000)]
+    own = gate.stored(gate.worded(texts(spark, *many, many[0] + " more")))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = sent()
+    assert [(r.left_id, r.right_id) for r in gate.near_duplicates(own, cap=None).collect()] == [(0, 4000)]
+    assert sent() - before < 8 * 400 * len(many)  # less than a hash for each
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    said = random.Random(2)
+    kinds = [[f"w{said.randrange(300)}" for _ in range(60)] for _ in range(4)]
+    many = []
+    for i in range(80):
+        w = list(kinds[i % 4])
+        for _ in range(said.randrange(4)):
+            w[said.randrange(60)] = f"x{said.randrange(40)}"
+        many.append(w[: 60 - said.randrange(8)])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in many]
+    for threshold, cap in ((0.82, None), (0.6, None), (0.6, 18), (1.0, None)):
+        useful = [{g for g in s if cap is None or sum(g in x for x in sets) <= cap} for s in sets]
+        want = set()
+        for i in range(80):
+            for j in range(i + 1, 80):
+                both = len(useful[i] & useful[j])
+                if many[i] != many[j] and both / (len(sets[i]) + len(sets[j]) - both) >= threshold:
+                    want.add((i, j))
+        got = gate.near_duplicates(texts(spark, *map(" ".join, many)), threshold, cap=cap).collect()
+        assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == want
+
+
 def test_shared_spans_one_per_set(spark):
     run = words(0, 20)
     got = gate.shared_spans(texts(spark, run + " a", "b " + run, "c d")).collect()
