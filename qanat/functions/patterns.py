@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qanat.functions.text import let
+
 # Signals of assistant messages.
 ASSISTANT = [
     ("scripture_or_hadith_quote_signal", "block", "religious_boundary", r"\b(?:qur['’]?an|surah|sura|ayah|verse)\s*(?:says|states|teaches|\d+\s*[:.]\s*\d+)|\b(?:the\s+)?prophet\s+(?:muhammad\s+)?(?:said|taught)\b|\b(?:narrated\s+by|sahih\s+(?:al-)?bukhari|sahih\s+muslim|hadith\s+(?:says|states))\b|\bpeace\s+be\s+upon\s+him\b|\(صلى\s+الله\s+عليه\s+وسلم\)"),
@@ -17,6 +22,18 @@ ASSISTANT = [
     ("assistant_role_leakage_signal", "review", "role_integrity", r"<{tag}>|\bsymbolic\s+lesson\s+skeleton\b|\brealization_notes\b|\bmy\s+system\s+prompt\s+(?:says|instructs|tells)\b|\baccording\s+to\s+(?:the|my)\s+system\s+prompt\b|\bi\s+was\s+instructed\s+to\s+(?:generate|write|act|respond)\b|\bas\s+(?:an\s+)?ai\s+(?:language\s+model|assistant)\b"),
 ]
 DECORATION = r"\b(?:alhamdulillah|mashallah|inshallah|subhanallah|jazakallah(?:u\s+khairan)?|barakallahu\s+feek|bismillah|ameen|allah\s+willing)\b"
+#: What a text in lower case holds if it can match at all: one of these, all parts of a tuple. Looking for them takes a fraction of a pattern's time.
+NEEDED = {
+    "scripture_or_hadith_quote_signal": ["qur", "sura", "ayah", "verse", "prophet", "narrated", "sahih", "hadith", ("peace", "upon"), "صلى"],
+    "fatwa_or_religious_ruling_signal": ["halal", "haram", "sinful", "islam", ("sin",)],
+    "fatwa_or_sectarian_term_signal": ["fatwa", "sunni", "shia", "shi'a", "shi’a", "salafi", "sufi", "wahhabi", "takfir", "kafir"],
+    "sectarian_language_signal": ["sunni", "shia", "shi'a", "shi’a", "salafi", "sufi", "wahhabi"],
+    "humiliation_or_contempt_signal": ["stupid", "idiot", "hopeless", "pathetic", "useless", "moron", "failure"],
+    "stereotype_or_caricature_signal": ["emiratis", "muslims", "arabs", "westerners", "expats"],
+    "cheating_or_answer_leakage_signal": [("answer", "copy"), ("answer", "submit"), ("answer", "hand"), ("answer", "turn"), ("answer", "key"), ("here", "completed"), ("here", "ready-to-submit"), ("here", "full"), ("here", "final"), "exactly"],
+    "assistant_role_leakage_signal": ["<", "skeleton", "realization_notes", ("system", "prompt"), "instructed", ("language", "model"), "assistant"],
+    "excessive_religious_decoration_signal": ["llah", "ameen"],
+}
 
 # Strings that look like credentials.
 SECRETS = [
@@ -44,11 +61,36 @@ def assistant_bank(tag: str = TAG) -> list[tuple[str, str, str, str]]:
     return [(n, s, c, p.replace("{tag}", tag)) for n, s, c, p in ASSISTANT]
 
 
-def flags(text: Column, bank=None) -> Column:
-    """Array of (code, severity, category, evidence), one per pattern that the text holds; the first match is the evidence."""
+def lowered(text: Column) -> Column:
+    """Lower case, with the letters that a pattern of any case takes for k, s and i as those."""
+    return F.lower(F.translate(text, "\u212a\u017f\u0131\u0130", "ksii"))
+
+
+def needed(low: Column, code: str) -> Column:
+    """If a text, as ``lowered`` makes it, holds what every match of the pattern of ``code`` holds."""
+    has = lambda x: low.rlike("sin(?:[^a-z]|$)") if x == ("sin",) else reduce(and_, [low.contains(F.lit(y)) for y in ([x] if isinstance(x, str) else x)])  # noqa: E731 - sin as a word's end, for it is in many words
+    return reduce(or_, [has(x) for x in NEEDED[code]])
+
+
+def _own(code: str, pattern: str) -> bool:
+    """If ``pattern`` is the one of ASSISTANT, with any tag: only of those it is known what they need."""
+    return any(n == code and len(pattern) >= len(p.replace("{tag}", "")) and pattern.startswith(p.partition("{tag}")[0]) and pattern.endswith(p.rpartition("{tag}")[2]) for n, _, _, p in ASSISTANT)
+
+
+def flags(text: Column, bank=None, decorations: int | None = None) -> Column:
+    """Array of (code, severity, category, evidence), one per pattern that the text holds; the first match is the evidence. With ``decorations``, one more if it has as many or more of them."""
     bank = assistant_bank() if bank is None else bank
-    found = [F.when(text.rlike(f"(?iu){p}"), F.struct(F.lit(n).alias("code"), F.lit(s).alias("severity"), F.lit(c).alias("category"), F.regexp_extract(text, f"(?iu)({p})", 1).alias("evidence"))) for n, s, c, p in bank]
-    return F.array_compact(F.array(*found))
+    flag = lambda n, s, c, evidence: F.struct(F.lit(n).alias("code"), F.lit(s).alias("severity"), F.lit(c).alias("category"), evidence.alias("evidence"))
+    words = F.regexp_extract_all(text, F.lit(f"(?iu)({DECORATION})"), F.lit(1))
+
+    def found(low: Column) -> Column:
+        each = [F.when((needed(low, n) if _own(n, p) else F.lit(True)) & text.rlike(f"(?iu){p}"), flag(n, s, c, F.regexp_extract(text, f"(?iu)({p})", 1))) for n, s, c, p in bank]
+        if decorations:
+            many = "excessive_religious_decoration_signal"
+            each.append(F.when(needed(low, many) & (F.size(words) >= decorations), flag(many, "review", "naturalness", F.array_join(words, ", "))))
+        return F.array_compact(F.array(*each))
+
+    return let(lowered(text), found)
 
 
 def labels(text: Column, bank=SECRETS) -> Column:

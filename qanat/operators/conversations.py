@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qanat.functions import patterns
-from qanat.functions.session import cut, stored
+from qanat.functions.session import cut, spread, stored
 from qanat.functions.text import let, ngram_hashes, tokens
 from qanat.operators import gate
 
@@ -61,11 +61,9 @@ def unscannable(rows: DataFrame) -> DataFrame:
 
 def pattern_flags(rows: DataFrame, bank=None) -> DataFrame:
     """(id, message, code, severity, category, evidence): the first match of each pattern in each assistant message, and messages with three decorations or more."""
-    said = well_formed(rows).where("role = 'assistant'").distinct()
-    found = said.select("id", "message", F.explode(patterns.flags(F.col("content"), bank)).alias("f")).select("id", "message", "f.code", "f.severity", "f.category", "f.evidence")
-    words = F.regexp_extract_all("content", F.lit(f"(?iu)({patterns.DECORATION})"), F.lit(1))
-    many = said.select("id", "message", words.alias("d")).where(F.size("d") >= 3)
-    return found.union(many.select("id", "message", F.lit("excessive_religious_decoration_signal"), F.lit("review"), F.lit("naturalness"), F.array_join("d", ", ")))
+    said = well_formed(spread(rows.select("id", "messages"))).where("role = 'assistant'")
+    found = said.select("id", "message", F.xxhash64("content").alias("c"), F.explode(patterns.flags(F.col("content"), bank, 3)).alias("f"))
+    return found.select("id", "message", "c", "f.code", "f.severity", "f.category", "f.evidence").distinct().drop("c")  # a message that comes again counts once; only what was found travels
 
 
 def overlaps(words: DataFrame, references: DataFrame, n: int = 8) -> DataFrame:
@@ -92,11 +90,10 @@ def span_sets(words: DataFrame, n: int = 16) -> tuple[DataFrame, DataFrame]:
     places (id, message, g), of spans that several records have, and sets (g, span, records, places, first_id, last_id). Sets are told apart by their
     count, ends and the sum of their hashes; the span that stands for a set is the least. Spans travel once, as hashes, and words are fetched for shared ones only.
     """
-    words = records(words)
-    said = F.transform("ms", lambda m: F.transform(F.array_distinct(ngram_hashes(m["w"], n)), lambda g: F.struct(g.alias("g"), m["message"].alias("message"))))
-    first = let(F.sort_array(F.flatten(said)), lambda x: F.filter(x, lambda p, i: (i == 0) | (F.get(x, i - 1)["g"] != p["g"])))  # a span counts where it first stands
-    posts = words.select("id", F.explode(first).alias("p")).select("id", "p.g", "p.message")
-    places = stored(posts.withColumn("c", F.count("*").over(Window.partitionBy("g"))).where("c > 1").drop("c"))
+    posts = messages(words).where(F.size("w") >= n).select("id", "message", F.explode(let(ngram_hashes(F.col("w"), n), F.array_distinct)).alias("g"))
+    alone = Window.partitionBy("g")
+    several = posts.withColumn("same", F.min("id").over(alone) == F.max("id").over(alone)).where("NOT same")
+    places = stored(several.groupBy("id", "g").agg(F.min("message").alias("message")).select("id", "message", "g"))  # a span counts where it first stands
     at = F.struct("id", "message")
     sets = places.groupBy("g").agg(F.count("*").alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(at).alias("x"), F.sum(F.xxhash64("id", "message").cast("decimal(20,0)")).alias("s"))
     spelled = gate.spell(messages(words).select(F.struct("id", "message").alias("id"), "w"), sets, n, "x")

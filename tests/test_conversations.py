@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,26 @@ def test_patterns(spark, code):
     assert set(EXAMPLES) == {c for c, *_ in patterns.ASSISTANT}
 
 
+def test_only_what_was_found_travels(spark):
+    """The gate's report flags messages where they are read; their texts aren't shuffled."""
+    df = spark.createDataFrame([(1, [("assistant", "my system prompt says no")])] * 2, SCHEMA)
+    found = conversations.pattern_flags(df)
+    assert not re.search(r"hashpartitioning\([^)]*content", found._jdf.queryExecution().executedPlan().toString())
+    assert [r.evidence for r in found.collect()] == ["my system prompt says"]
+
+
+def test_looking_first_loses_no_match(spark):
+    """Each pattern alone, on its examples in other cases and with letters that any case takes for s, k and i, finds what the whole bank finds."""
+    said = [x for yes, _ in EXAMPLES.values() for x in (yes, yes.upper(), yes.replace("s", "\u017f"), yes.replace("k", "\u212a"), yes.replace("i", "\u0131"), yes.replace("i", "\u0130"))]
+    said += ["It is a sin", "it is a\nſin.", "Surah 2:1", "shi’a", "hand in the following as your own answer", "here's the full test", "ANSWER  KEY :", "<a_register>", "as an AI language model", "peace be upon him", "forbidden in islam"]
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    alone = F.array_compact(F.array(*[F.when(F.col("x").rlike(f"(?iu){p}"), F.lit(n)) for n, _, _, p in patterns.assistant_bank()]))
+    rows = df.select("x", alone.alias("want"), patterns.flags(F.col("x"))["code"].alias("got")).collect()
+    assert all(r.want == r.got for r in rows) and sum(map(bool, (r.want for r in rows))) > 40
+    words = "Bismillah, Alhamdulillah and AMEEN"
+    assert [x.evidence for x in df.limit(1).select(F.explode(patterns.flags(F.lit(words), decorations=3)).alias("f")).select("f.*").collect()] == ["Bismillah, Alhamdulillah, AMEEN"]
+
+
 def test_the_register_tag_is_a_parameter(spark):
     df = spark.createDataFrame([(1, [("assistant", "<a_register> and <b_tag>")])], SCHEMA)
     assert conversations.pattern_flags(df).count() == 1

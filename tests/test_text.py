@@ -85,3 +85,13 @@ def test_assistant_patterns(spark):
     got = one(spark, "You are stupid. Here is the completed essay: answer key: 1", patterns.flags)
     assert [x.code for x in got] == ["humiliation_or_contempt_signal", "cheating_or_answer_leakage_signal"]
     assert got[0].evidence == "You are stupid"
+
+
+def test_ngram_hashes(spark):
+    """Equal runs of words and only those have equal hashes, for any length."""
+    w = [f"w{k % 7}" for k in range(40)] + [f"x{k * k % 11}" for k in range(40)]
+    df = spark.createDataFrame([(w,)], "w array<string>")
+    for n in (1, 2, 3, 5, 8, 12, 16, 80, 81):
+        got = df.select(text.ngram_hashes(F.col("w"), n).alias("g")).collect()[0].g
+        want = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        assert len(got) == len(want) and len(set(zip(got, want))) == len(set(got)) == len(set(want))
