@@ -3,6 +3,8 @@ import json
 import random
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from qanat.operators import gate
 from qanat.plans import gate_queries
 from qanat.sources import heldout
@@ -111,3 +113,13 @@ def test_heldout_hashes_take_the_composed_form(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"ids": [], "content_hashes": [], "sources": [source]}))
     hashes = heldout.load(spark, str(tmp_path / "m.json"), str(tmp_path))[1].collect()
     assert [r.sha256 for r in hashes] == [hashlib.sha256(composed.encode()).hexdigest()]
+
+
+def test_few_ngrams_meet_references(spark):
+    """n-grams of a text that no reference has aren't exploded."""
+    df = spark.createDataFrame([(1, [f"a{k}" for k in range(200)]), (2, [f"b{k}" for k in range(200)])], "id int, w array<string>")
+    refs = spark.createDataFrame([("r", "so a7 a8 a9 a10 it"), ("n", None)], "ref string, text string")
+    grams = refs.select(F.explode(gate.ngram_hashes(gate.tokens(F.col("text")), 3)).alias("g"))
+    assert {r.id: [x.p for x in r.x] for r in gate.referred(df, grams, 3).collect()} == {1: [7, 8], 2: []}
+    assert [r.id for r in gate.contaminated(df, refs, 3).collect()] == [1]
+    assert [tuple(r) for r in gate.longest_overlaps(df, refs, 3).collect()] == [(1, "r", 4, 7)]
