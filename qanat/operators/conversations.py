@@ -132,22 +132,28 @@ def flags(rows: DataFrame, references: DataFrame, eval_overlap_words: int = 8, v
     """(id, code, severity, message, evidence): all flags of all records; one of a whole record has no message."""
     if min(eval_overlap_words, verbatim_span_words, opening_words) < 3 or opening_repeat_min < 2 or not 0 < near_duplicate_threshold <= 1:
         raise ValueError("words from 3, repeats from 2, a threshold above 0 and at most 1")
+    none = F.lit(None).cast("int")
     words = stored(records(worded(rows)))
+
+    def kept(code: str, df: DataFrame) -> DataFrame:
+        """One kind after the other: all at once are a plan of many stages in the driver, and their shuffles stay on disk until the last ends."""
+        return stored(df.select("id", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "message", "evidence"))
+
+    parts = [
+        kept("suspicious_shared_verbatim_span", span_flags(words, verbatim_span_words)),  # it shuffles most, so it runs while little else is stored
+        kept("heldout_eval_phrase_overlap", overlaps(words, references, eval_overlap_words).select("id", "message", F.col("ref").alias("evidence"))),
+        kept("repeated_templated_opening", opening_flags(words, opening_words, opening_repeat_min)),
+    ]
     whole = stored(gate.marked(conversation_words(words)))
     digest = whole.where(F.size("w") > 0).select("id", F.sha2(F.array_join("w", " "), 256).alias("text_sha256"))
     copies = digest.join(gate.exact_duplicates(whole).select("text_sha256").hint("merge"), "text_sha256", "left_semi").select("id", F.col("text_sha256").alias("evidence"))
     near = gate.near_duplicates(whole, near_duplicate_threshold).select("left_id", "right_id", F.concat(F.lit("5-gram Jaccard="), F.format_string("%.3f", "similarity")).alias("evidence"))
-    none = F.lit(None).cast("int")
-    parts = {
-        "unscannable_messages": unscannable(rows).select("id", none.alias("message"), F.lit("").alias("evidence")),
-        "heldout_eval_phrase_overlap": overlaps(words, references, eval_overlap_words).select("id", "message", F.col("ref").alias("evidence")),
-        "repeated_templated_opening": opening_flags(words, opening_words, opening_repeat_min).select("id", "message", "evidence"),
-        "suspicious_shared_verbatim_span": span_flags(words, verbatim_span_words).select("id", "message", "evidence"),
-        "exact_corpus_duplicate": copies.select("id", none.alias("message"), "evidence"),
-        "near_corpus_duplicate": near.select(F.explode(F.array("left_id", "right_id")).alias("id"), none.alias("message"), "evidence"),
-    }
-    found = [df.select("id", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "message", "evidence") for code, df in parts.items()]
-    return reduce(DataFrame.union, found, pattern_flags(rows).select("id", "code", "severity", "message", "evidence"))
+    parts += [
+        kept("exact_corpus_duplicate", copies.withColumn("message", none)),
+        kept("near_corpus_duplicate", near.select(F.explode(F.array("left_id", "right_id")).alias("id"), none.alias("message"), "evidence")),
+        kept("unscannable_messages", unscannable(rows).select("id", none.alias("message"), F.lit("").alias("evidence"))),
+    ]
+    return reduce(DataFrame.union, parts, stored(pattern_flags(rows).select("id", "code", "severity", "message", "evidence")))
 
 
 def decisions(rows: DataFrame, found: DataFrame) -> DataFrame:
